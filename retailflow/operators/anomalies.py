@@ -117,7 +117,8 @@ def recent_critical(high_value: DataFrame, high_quantity: DataFrame, order_by: s
     def part(df: DataFrame, source: str, metric: str) -> DataFrame:
         return df.filter(F.col("severity") == "critical").select(
             F.lit(source).alias("anomaly_source"), "transaction_id", "user_id", "timestamp",
-            F.col(metric).cast("double").alias("metric_value"), "severity", order_by)
+            F.col(metric).cast("double").alias("metric_value"), "severity",
+            *([] if order_by == "timestamp" else [order_by]))
     return (part(high_value, "high_value", "total_amount")
             .unionByName(part(high_quantity, "high_quantity", "quantity"))
             .orderBy(F.col(order_by).desc(), "transaction_id", "metric_value"))

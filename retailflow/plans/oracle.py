@@ -404,7 +404,8 @@ BODIES: dict[str, str] = {
       from m_all group by kind""",
     "validation_errors": """select kind, nullif(string_split(errors, ';')[1], '') as error, count(*) as events
       from m_all group by 1, 2""",
-    "duplicate_events": "select line_item_id, count(*) as copies from fx_sales group by 1 having count(*) > 1",
+    "duplicate_events": """select transaction_id||'-'||l_linenumber as event_id, count(*) as copies from fx_lines
+      group by 1 having count(*) > 1""",
     "dim_date": "select * from d_dates",
     "dim_geography": "select * from d_geo",
     "dim_customers": "select * from d_incoming",

@@ -269,7 +269,8 @@ QUERIES: dict[str, Callable[[Workload], DataFrame]] = {
     "validate_views": lambda w: _shown(_validated(w.data.checked_view_messages(), quality.view_rules(WORDS))),
     "validation_stats": _validation_stats,
     "validation_errors": lambda w: quality.first_errors(_all_validated(w), "kind"),
-    "duplicate_events": lambda w: ingest.duplicates(w.sales, "line_item_id"),
+    "duplicate_events": lambda w: ingest.duplicates(w.lines.select(
+        F.concat_ws("-", "transaction_id", F.col("l_linenumber").cast("string")).alias("event_id"))),
     # dimensions
     "dim_date": lambda w: w.calendar,
     "dim_geography": lambda w: w.geography,

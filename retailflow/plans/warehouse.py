@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from retailflow.config import SCORING, Scoring
 from retailflow.operators import analytics, dimensions, facts
-from retailflow.sources.tables import date_range
+from retailflow.sources.tables import date_range, path_exists
 from retailflow.streaming import sinks
 
 
@@ -52,7 +52,7 @@ def load_facts(spark: SparkSession, path: str, incoming: DataFrame, key: str = "
                partition_by: str | None = None) -> None:
     """Append facts that are not in the table yet."""
     fresh = incoming.dropDuplicates([key])
-    if sinks._exists(spark, path):
+    if path_exists(spark, path):
         fresh = facts.unseen(incoming, spark.read.parquet(path), key)
     sinks.append(fresh, path)
 

@@ -13,7 +13,7 @@ from retailflow.functions.labels import content_id
 from retailflow.functions.money import from_cents, line_cents
 from retailflow.session import configure
 from retailflow.sources.streams import file_stream
-from retailflow.sources.tables import parquet_table, table_path
+from retailflow.sources.tables import is_folder, parquet_table, table_path
 
 #: fixed values: attributes of the regions that stand for countries; one region has none
 REGION_ROWS = (
@@ -44,9 +44,13 @@ class RetailTables:
 
     def raw(self, name: str) -> DataFrame:
         table = parquet_table(self.spark, self.folder, name)
-        if name in self.streaming:
-            return file_stream(self.spark, table_path(self.spark, self.folder, name), table.schema)
-        return table
+        if name not in self.streaming:
+            return table
+        path = table_path(self.spark, self.folder, name)
+        if is_folder(self.spark, path):
+            return file_stream(self.spark, path, table.schema)
+        # A file stream reads folders; a table held in one file is picked out by its name.
+        return file_stream(self.spark, self.folder, table.schema, pathGlobFilter=f"{name}.parquet")
 
     def users(self) -> DataFrame:
         return (self.raw("customer")

@@ -44,11 +44,29 @@ class Jdbc:
         return spark.read.format("jdbc").options(**self.options(table, query, split)).load()
 
 
+def _file_system(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    hadoop, fs = _file_system(spark, path)
+    return fs.exists(hadoop)
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    hadoop, fs = _file_system(spark, path)
+    return fs.exists(hadoop) and fs.getFileStatus(hadoop).isDirectory()
+
+
+def matching_paths(spark: SparkSession, pattern: str) -> list[str]:
+    hadoop, fs = _file_system(spark, pattern)
+    return [str(s.getPath().toString()) for s in (fs.globStatus(hadoop) or [])]
+
+
 def table_path(spark: SparkSession, root: str, name: str) -> str:
     """``<root>/<name>`` or ``<root>/<name>.parquet``, whichever the table folder holds."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return f"{root}/{name}" if fs.exists(path) else f"{root}/{name}.parquet"
+    return f"{root}/{name}" if path_exists(spark, f"{root}/{name}") else f"{root}/{name}.parquet"
 
 
 def parquet_table(spark: SparkSession, root: str, name: str) -> DataFrame:

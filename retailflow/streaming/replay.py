@@ -7,6 +7,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame
 
 from retailflow.session import shared_folder
+from retailflow.sources.tables import path_exists
 from retailflow.streaming import sinks
 
 
@@ -19,6 +20,6 @@ def replay(stream: DataFrame, output_mode: str = "append", folder: str | None =
     folder = folder or f"{shared_folder(spark)}/replay-{uuid4().hex}"
     writer = sinks.each_batch(sinks.parquet_batches(f"{folder}/rows"))
     sinks.start(stream, writer, f"{folder}/checkpoint", output_mode=output_mode, available_now=True).awaitTermination()
-    if not sinks._exists(spark, f"{folder}/rows"):
+    if not path_exists(spark, f"{folder}/rows"):
         return spark.createDataFrame([], stream.schema)
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows/batch_id=*")

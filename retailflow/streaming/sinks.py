@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from retailflow.operators.anomalies import alert_messages, critical_alerts
-from retailflow.sources.tables import Jdbc
+from retailflow.sources.tables import Jdbc, matching_paths, path_exists
 
 BatchWriter = Callable[[DataFrame, int], None]
 
@@ -100,7 +100,7 @@ def replace_partitions(df: DataFrame, path: str, column: str = "analysis_date")
 def load_once(df: DataFrame, path: str) -> bool:
     """Write unless the target already holds rows; tells whether it wrote."""
     spark = df.sparkSession
-    if _exists(spark, path) and not spark.read.parquet(path).isEmpty():
+    if path_exists(spark, path) and not spark.read.parquet(path).isEmpty():
         return False
     df.write.mode("overwrite").parquet(path)
     return True
@@ -128,14 +128,5 @@ def read_version(spark: SparkSession, path: str, version: int | None = None) ->
 
 
 def newest_version(spark: SparkSession, path: str) -> int | None:
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    committed = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/_SUCCESS")) or []
-    versions = [int(s.getPath().getParent().getName().split("=")[1]) for s in committed]
-    return max(versions, default=None)
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root)
+    committed = matching_paths(spark, f"{path}/version=*/_SUCCESS")
+    return max((int(p.split("/")[-2].split("=")[1]) for p in committed), default=None)
