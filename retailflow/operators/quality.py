@@ -1,8 +1,9 @@
 """Event validation as column expressions over the JSON text of a message.
 
-The message is parsed once to a VARIANT, so a missing field, a JSON null and a value
-of the wrong JSON type stay distinguishable, and every rule runs inside codegen.
-``validate`` adds ``errors``: the broken rules in declaration order, each as
+The message is parsed once to a VARIANT and shredded in one pass to the declared fields, so
+a missing field, a JSON null and a value of the wrong JSON type stay distinguishable. Kind,
+text and number of every field become plain columns first; the rules then only compare
+those. ``validate`` adds ``errors``: the broken rules in declaration order, each as
 ``<rule>:<field>``; an empty array means the event is valid.
 """
 
@@ -23,20 +24,13 @@ USER_ID = "^USER_[0-9]+$"
 PRODUCT_ID = "^PROD_[0-9]+$"
 # ---------------------------------------------------------------------------------
 
-#: JSON kinds by the type name Spark gives a variant value.
-_KINDS = {
-    "string": "^STRING$",
-    "integer": r"^(BIGINT|DECIMAL\([0-9]+,0\))$",
-    "number": "^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$",
-    "boolean": "^BOOLEAN$",
-    "array": "^ARRAY<.*>$",
-    "object": "^OBJECT<.*>$",
-}
-
 
 @dataclass(frozen=True)
 class Field:
-    """Constraints on one JSON field, or on the elements of an array field."""
+    """Constraints on one JSON field, or on the elements of an array field.
+
+    A property of an array element with ``checked=False`` is only read by business rules.
+    """
     name: str
     kind: str
     nullable: bool = False
@@ -51,10 +45,33 @@ class Field:
     element: "Field | None" = None
     properties: tuple["Field", ...] = ()
     required: bool = False
+    checked: bool = True
+
+
+class Facts:
+    """Columns that describe the fields of one message, or the properties of one array element."""
+
+    def __init__(self, at: Callable[[str], Column]):
+        self._at = at
+
+    def here(self, name: str) -> Column:
+        return self._at(f"kind_{name}").isNotNull()
+
+    def kind(self, name: str) -> Column:
+        return self._at(f"kind_{name}")
 
+    def text(self, name: str) -> Column:
+        return self._at(f"text_{name}")
 
-#: A business rule: name and a function from the message variant to "is broken".
-Rule = tuple[str, Callable[[Column], Column]]
+    def number(self, name: str) -> Column:
+        return self._at(f"number_{name}")
+
+    def items(self, name: str) -> Column:
+        return self._at(f"items_{name}")
+
+
+#: A business rule: name and a function from the message facts to "is broken".
+Rule = tuple[str, Callable[[Facts], Column]]
 
 
 @dataclass(frozen=True)
@@ -63,98 +80,145 @@ class Ruleset:
     business: tuple[Rule, ...] = field(default=())
 
 
-def _get(message: Column, path: str, kind: str) -> Column:
-    return F.try_variant_get(message, f"$.{path}", kind)
+def _shape(fields: Sequence[Field]) -> str:
+    return "struct<" + ",".join(f"`{f.name}`: variant" for f in fields) + ">"
+
+
+def _scalar_facts(f: Field, value: Column) -> dict[str, Column]:
+    """Kind of a value (NULL when absent), its text, and its number when it has one."""
+    facts = {f"kind_{f.name}": F.schema_of_variant(value)}
+    if f.kind == "string":
+        facts[f"text_{f.name}"] = F.try_variant_get(value, "$", "string")
+    if f.kind in ("integer", "number"):
+        facts[f"number_{f.name}"] = F.try_variant_get(value, "$", "double")
+    return facts
+
+
+def _array_facts(f: Field, value: Column) -> dict[str, Column]:
+    """An array is told by its elements; the schema of all of them is never computed."""
+    def cast(element: str) -> Column:
+        return F.try_variant_get(value, "$", f"array<{element}>")
 
+    kind = F.when(cast("variant").isNotNull(), "ARRAY").when(value.isNotNull(), "OTHER")
+    parts = f.element.properties or (f.element,) if f.element else ()
 
-def _kind_of(value: Column) -> Column:
-    return F.schema_of_variant(value)
+    def describe(item: Column) -> Column:
+        facts: dict[str, Column] = {}
+        for p in parts:
+            facts |= _scalar_facts(p, item[p.name] if f.element.properties else item)
+        return F.struct(*[c.alias(n) for n, c in facts.items()])
+
+    if not parts:
+        described = cast("variant")
+    else:
+        # NULL when some element of an object array is no object.
+        described = F.transform(cast(_shape(parts) if f.element.properties else "variant"), describe)
+    return {f"kind_{f.name}": kind, f"items_{f.name}": described}
+
+
+def _is_kind(kind: Column, wanted: str) -> Column:
+    """``kind`` is the type name Spark gives a variant value."""
+    match wanted:
+        case "string":
+            return kind == "STRING"
+        case "boolean":
+            return kind == "BOOLEAN"
+        case "integer":
+            return (kind == "BIGINT") | (kind.startswith("DECIMAL") & kind.endswith(",0)"))
+        case "number":
+            return kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
+        case "array":
+            return kind == "ARRAY"
+    raise ValueError(wanted)
 
 
 def _when(broken: Column, rule: str, name: str) -> Column:
     return F.when(broken, F.lit(f"{rule}:{name}"))
 
 
-def _value_checks(f: Field, value: Column, name: str) -> list[Column]:
-    """Constraint checks on one variant value that is present."""
-    kind = _kind_of(value)
-    right_kind = kind.rlike(_KINDS[f.kind])
-    ok_null = (kind == "VOID") if f.nullable else F.lit(False)
-    checks = [_when(~(right_kind | ok_null), "type", name)]
-    text = F.try_variant_get(value, "$", "string")
+def _bounds(f: Field, facts: Facts) -> list[tuple[str, Column]]:
+    """Constraint tests that apply to a value of the right kind."""
+    tests = []
     if f.pattern:
-        checks.append(_when(right_kind & ~text.rlike(f.pattern), "pattern", name))
+        tests.append(("pattern", ~facts.text(f.name).rlike(f.pattern)))
     if f.date_time:
-        checks.append(_when(right_kind & parse_iso(text).isNull(), "format", name))
-    if f.allowed is not None:
-        checks.append(_when(~ok_null & ~F.coalesce(right_kind & text.isin(*f.allowed), F.lit(False)), "enum", name))
-    number = F.try_variant_get(value, "$", "double")
+        tests.append(("format", parse_iso(facts.text(f.name)).isNull()))
     if f.minimum is not None:
-        checks.append(_when(right_kind & (number < f.minimum), "minimum", name))
+        tests.append(("minimum", facts.number(f.name) < f.minimum))
     if f.maximum is not None:
-        checks.append(_when(right_kind & (number > f.maximum), "maximum", name))
+        tests.append(("maximum", facts.number(f.name) > f.maximum))
     if f.min_length is not None:
-        checks.append(_when(right_kind & (F.length(text) < f.min_length), "min_length", name))
-    return checks
+        tests.append(("min_length", F.length(facts.text(f.name)) < f.min_length))
+    return tests
+
 
+def _field_checks(f: Field, facts: Facts) -> list[Column]:
+    kind = facts.kind(f.name)
+    right = _is_kind(kind, f.kind)
+    fine = right | (kind == "VOID") if f.nullable else right
+    checks = [_when(~fine, "type", f.name)]
+    checks += [_when(right & broken, rule, f.name) for rule, broken in _bounds(f, facts)]
+    if f.allowed is not None:
+        checks.append(_when(kind.isNotNull() & ~F.coalesce(facts.text(f.name).isin(*f.allowed), F.lit(False)),
+                            "enum", f.name))
+    return checks + (_array_checks(f, kind, facts.items(f.name)) if f.kind == "array" else [])
 
-def _array_checks(f: Field, value: Column) -> list[Column]:
-    items = F.try_variant_get(value, "$", "array<variant>")
+
+def _array_checks(f: Field, kind: Column, items: Column) -> list[Column]:
     checks = []
     if f.min_items is not None:
         checks.append(_when(F.size(items) < f.min_items, "min_items", f.name))
     if f.max_items is not None:
         checks.append(_when(F.size(items) > f.max_items, "max_items", f.name))
     element = f.element
-    if element is not None:
-        def some_item(test: Callable[[Column], Column]) -> Column:
-            return F.exists(items, lambda i: F.coalesce(test(i), F.lit(True)))
-        checks.append(_when(some_item(lambda i: ~_kind_of(i).rlike(_KINDS[element.kind])), "type", f"{f.name}[]"))
-        if element.pattern:
-            checks.append(_when(
-                some_item(lambda i: ~F.try_variant_get(i, "$", "string").rlike(element.pattern)),
-                "pattern", f"{f.name}[]"))
-        if element.minimum is not None:
-            checks.append(_when(
-                some_item(lambda i: F.try_variant_get(i, "$", "double") < element.minimum), "minimum", f"{f.name}[]"))
-        for p in element.properties:
-            checks.append(_item_property(f.name, p, items))
+    if element is None:
+        return checks
+
+    def some(test: Callable[[Facts], Column]) -> Column:
+        return F.exists(items, lambda i: F.coalesce(test(Facts(lambda name: i[name])), F.lit(True)))
+
+    if not element.properties:
+        name = f"{f.name}[]"
+        checks.append(_when(some(lambda e: ~_is_kind(e.kind(element.name), element.kind)), "type", name))
+        for at, (rule, _) in enumerate(_bounds(element, Facts(lambda name: F.lit(None)))):
+            checks.append(_when(some(lambda e, at=at: _bounds(element, e)[at][1]), rule, name))
+        return checks
+    checked = [p for p in element.properties if p.checked]
+    if checked:
+        checks.append(_when((kind == "ARRAY") & items.isNull(), "type", f"{f.name}[]"))
+    for p in checked:
+        def broken(e: Facts, p: Field = p) -> Column:
+            bad = ~_is_kind(e.kind(p.name), p.kind)
+            for _, test in _bounds(p, e):
+                bad = bad | test
+            return bad
+        checks.append(_when(some(broken), "item", f"{f.name}[].{p.name}"))
     return checks
 
 
-def _item_property(array: str, p: Field, items: Column) -> Column:
-    """An element lacks the property, has it in another kind, or out of its bounds."""
-    def broken(item: Column) -> Column:
-        value = _get(item, p.name, "variant")
-        bad = value.isNull() | ~_kind_of(value).rlike(_KINDS[p.kind])
-        if p.pattern:
-            bad = bad | ~_get(item, p.name, "string").rlike(p.pattern)
-        number = _get(item, p.name, "double")
-        if p.minimum is not None:
-            bad = bad | (number < p.minimum)
-        if p.maximum is not None:
-            bad = bad | (number > p.maximum)
-        return F.coalesce(bad, F.lit(True))
-    return _when(F.exists(items, broken), "item", f"{array}[].{p.name}")
-
-
-def error_list(message: Column, rules: Ruleset) -> Column:
-    checks = [_when(_get(message, f.name, "variant").isNull(), "required", f.name)
-              for f in rules.fields if f.required]
+def _describe(parsed: DataFrame, rules: Ruleset) -> DataFrame:
+    """Facts of every declared field as columns of their own, each computed once."""
+    facts: dict[str, Column] = {}
     for f in rules.fields:
-        value = _get(message, f.name, "variant")
-        per_field = _value_checks(f, value, f.name) + (_array_checks(f, value) if f.kind == "array" else [])
-        checks += [F.when(value.isNotNull(), c) for c in per_field]
-    checks += [F.when(broken(message), F.lit(f"rule:{name}")) for name, broken in rules.business]
-    return F.filter(F.array(*checks), lambda e: e.isNotNull())
+        value = F.col(f"_fields.{f.name}")
+        facts |= _array_facts(f, value) if f.kind == "array" else _scalar_facts(f, value)
+    return parsed.select("*", *[c.alias(f"_{name}") for name, c in facts.items()])
 
 
 def validate(messages: DataFrame, rules: Ruleset, value: str = "value") -> DataFrame:
     """Add ``errors``; text that is not a JSON object gives the single error ``malformed``."""
-    parsed = messages.withColumn("_message", F.try_parse_json(F.col(value).cast("string")))
-    is_object = F.coalesce(_kind_of(F.col("_message")).startswith("OBJECT"), F.lit(False))
-    errors = F.when(is_object, error_list(F.col("_message"), rules)).otherwise(F.array(F.lit("malformed")))
-    return parsed.withColumn("errors", errors).drop("_message")
+    message = F.try_parse_json(F.col(value).cast("string"))
+    described = _describe(
+        messages.withColumn("_fields", F.try_variant_get(message, "$", _shape(rules.fields))), rules)
+    facts = Facts(lambda name: F.col(f"_{name}"))
+    checks = [_when(~facts.here(f.name), "required", f.name) for f in rules.fields if f.required]
+    for f in rules.fields:
+        checks += _field_checks(f, facts)
+    checks += [F.when(broken(facts), F.lit(f"rule:{name}")) for name, broken in rules.business]
+    # Dropping NULLs with a set difference keeps the checks compiled; a lambda would interpret them.
+    broken_rules = F.array_except(F.array(*checks), F.array(F.lit(None).cast("string")))
+    errors = F.when(F.col("_fields").isNull(), F.array(F.lit("malformed"))).otherwise(broken_rules)
+    return described.select(*messages.columns, errors.alias("errors"))
 
 
 def valid(validated: DataFrame) -> DataFrame:
@@ -190,11 +254,10 @@ def pass_rates(validated: DataFrame, *keys: str) -> DataFrame:
 # --- rulesets --------------------------------------------------------------------
 
 def _sum_of(items: Column) -> Column:
-    """sum(quantity * price) over an array of item variants; missing parts count 0."""
-    return F.aggregate(
-        F.coalesce(items, F.array().cast("array<variant>")), F.lit(0.0),
-        lambda total, i: total + F.coalesce(_get(i, "quantity", "double"), F.lit(0.0))
-        * F.coalesce(_get(i, "price", "double"), F.lit(0.0)))
+    """sum(quantity * price) over described items; missing parts count 0."""
+    zero = F.lit(0.0)
+    return F.aggregate(items, zero, lambda total, i: total + F.coalesce(i["number_quantity"], zero)
+                       * F.coalesce(i["number_price"], zero))
 
 
 def _differs(a: Column, b: Column) -> Column:
@@ -202,42 +265,34 @@ def _differs(a: Column, b: Column) -> Column:
     return F.abs(F.rint((a - b) * 10000.0)) > 100
 
 
-def _items(message: Column, name: str) -> Column:
-    return _get(message, name, "array<variant>")
-
-
-def _total_mismatch(array: str, total: str, only_when: Callable[[Column], Column] | None = None):
-    def broken(m: Column) -> Column:
-        items = _items(m, array)
-        bad = (F.size(items) > 0) & _differs(_sum_of(items), F.coalesce(_get(m, total, "double"), F.lit(0.0)))
-        return bad & only_when(m) if only_when else bad
+def _total_mismatch(array: str, total: str, subtype: str | None = None) -> Callable[[Facts], Column]:
+    def broken(m: Facts) -> Column:
+        items = m.items(array)
+        bad = (F.size(items) > 0) & _differs(_sum_of(items), F.coalesce(m.number(total), F.lit(0.0)))
+        return (m.text("event_type") == subtype) & bad if subtype else bad
     return broken
 
 
-def _subtype(name: str) -> Callable[[Column], Column]:
-    return lambda m: _get(m, "event_type", "string") == name
-
-
-def _no_items(m: Column) -> Column:
-    empty = F.coalesce(F.size(_items(m, "items")) <= 0, F.lit(True))
-    none = F.coalesce(_get(m, "total_items", "double"), F.lit(0.0)) == 0
-    return _subtype("checkout")(m) & (empty | none)
+def _no_items(m: Facts) -> Column:
+    empty = F.coalesce(F.size(m.items("items")) <= 0, F.lit(True))
+    none = F.coalesce(m.number("total_items"), F.lit(0.0)) == 0
+    return (m.text("event_type") == "checkout") & (empty | none)
 
 
-def _same_quantity(m: Column) -> Column:
-    return _subtype("update_quantity")(m) & (_get(m, "old_quantity", "double") == _get(m, "new_quantity", "double"))
+def _same_quantity(m: Facts) -> Column:
+    return (m.text("event_type") == "update_quantity") & (m.number("old_quantity") == m.number("new_quantity"))
 
 
-def _no_query(m: Column) -> Column:
-    return _subtype("search")(m) & (F.coalesce(_get(m, "search_query", "string"), F.lit("")) == "")
+def _no_query(m: Facts) -> Column:
+    return (m.text("event_type") == "search") & (F.coalesce(m.text("search_query"), F.lit("")) == "")
 
 
-def _too_few_compared(m: Column) -> Column:
-    return _subtype("compare")(m) & (F.coalesce(F.size(_items(m, "product_ids")), F.lit(0)) < 2)
+def _too_few_compared(m: Facts) -> Column:
+    return (m.text("event_type") == "compare") & (F.coalesce(F.size(m.items("product_ids")), F.lit(0)) < 2)
 
 
-def _inverted_range(m: Column) -> Column:
-    return _get(m, "min_price", "double") > _get(m, "max_price", "double")
+def _inverted_range(m: Facts) -> Column:
+    return m.number("min_price") > m.number("max_price")
 
 
 def transaction_rules(words: Vocabulary = VOCABULARY) -> Ruleset:
@@ -278,13 +333,14 @@ def cart_rules(words: Vocabulary = VOCABULARY) -> Ruleset:
             Field("new_quantity", "integer", minimum=0),
             Field("cart_size", "integer", minimum=0, maximum=100),
             Field("cart_value", "number", minimum=0),
-            Field("items", "array"),
+            Field("items", "array", element=Field("item", "object", properties=(
+                Field("quantity", "integer", checked=False), Field("price", "number", checked=False)))),
             Field("total_items", "integer", minimum=0),
             Field("total_value", "number", minimum=0),
             Field("country", "string", required=True, allowed=words.countries)),
         business=(
             ("checkout_without_items", _no_items),
-            ("checkout_total_mismatch", _total_mismatch("items", "total_value", _subtype("checkout"))),
+            ("checkout_total_mismatch", _total_mismatch("items", "total_value", "checkout")),
             ("quantity_unchanged", _same_quantity)))
 
 

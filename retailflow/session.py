@@ -13,6 +13,11 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Before execution a join's size is guessed as the product of its inputs, which can turn the
+    # fact side into the broadcast side. Only tiny tables are broadcast on such estimates;
+    # larger sides wait for the size their shuffle measures.
+    "spark.sql.autoBroadcastJoinThreshold": "1MB",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB",
     # A hot join key is worth one more shuffle downstream.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.streaming.stateStore.providerClass":

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from retailflow.functions.labels import content_id
 from retailflow.functions.money import from_cents, line_cents
 from retailflow.session import configure
 from retailflow.sources.streams import file_stream
-from retailflow.sources.tables import is_folder, parquet_table, table_path
+from retailflow.sources.tables import is_folder, table_path
 
 #: fixed values: attributes of the regions that stand for countries; one region has none
 REGION_ROWS = (
@@ -41,16 +42,19 @@ class RetailTables:
         self.spark = configure(spark)
         self.folder = folder
         self.streaming = streaming
+        self._schemas: dict[str, StructType] = {}
 
     def raw(self, name: str) -> DataFrame:
-        table = parquet_table(self.spark, self.folder, name)
-        if name not in self.streaming:
-            return table
         path = table_path(self.spark, self.folder, name)
+        if name not in self._schemas:
+            self._schemas[name] = self.spark.read.parquet(path).schema
+        schema = self._schemas[name]
+        if name not in self.streaming:
+            return self.spark.read.schema(schema).parquet(path)
         if is_folder(self.spark, path):
-            return file_stream(self.spark, path, table.schema)
+            return file_stream(self.spark, path, schema)
         # A file stream reads folders; a table held in one file is picked out by its name.
-        return file_stream(self.spark, self.folder, table.schema, pathGlobFilter=f"{name}.parquet")
+        return file_stream(self.spark, self.folder, schema, pathGlobFilter=f"{name}.parquet")
 
     def users(self) -> DataFrame:
         return (self.raw("customer")
@@ -181,21 +185,22 @@ class RetailTables:
                            F.col("unit_price").alias("price"))
         total = F.when(order % 2 == 0, from_cents(line_cents("quantity", "unit_price") * F.col("n"))) \
             .otherwise(F.col("total_amount"))
-        uuid = _uuid(F.concat_ws("-", "transaction_id", F.col("l_linenumber").cast("string"),
-                                 F.col("l_suppkey").cast("string")))
-
-        def body(amount: Column) -> Column:
-            return F.to_json(F.struct(
-                F.when(d == 0, F.col("transaction_id")).otherwise(uuid).alias("transaction_id"),
-                F.when(d == 3, F.lower("user_id")).otherwise(F.col("user_id")).alias("user_id"),
-                F.when(d == 4, "yesterday").otherwise(_iso(F.col("timestamp"))).alias("timestamp"),
-                F.array_repeat(product, F.col("n")).alias("products"),
-                amount.alias("total_amount"),
-                F.when(d == 5, "Cash").otherwise(F.col("payment_method")).alias("payment_method"),
-                F.when(d != 1, F.col("country")).alias("country")))
-        value = (F.when(d == 7, F.lit('{"transaction_id":')).when(d == 2, body(total.cast("string")))
-                 .otherwise(body(total)))
-        return lines.select(uuid.alias("message_id"), F.lit("transaction").alias("kind"), value.alias("value"))
+        text = F.concat_ws("-", "transaction_id", F.col("l_linenumber").cast("string"),
+                           F.col("l_suppkey").cast("string"))
+        lines = lines.withColumn("message_id", _uuid(text))
+        body = F.to_json(F.struct(
+            F.when(d == 0, F.col("transaction_id")).otherwise(F.col("message_id")).alias("transaction_id"),
+            F.when(d == 3, F.lower("user_id")).otherwise(F.col("user_id")).alias("user_id"),
+            F.when(d == 4, "yesterday").otherwise(_iso(F.col("timestamp"))).alias("timestamp"),
+            F.array_repeat(product, F.col("n")).alias("products"),
+            total.alias("total_amount"),
+            F.when(d == 5, "Cash").otherwise(F.col("payment_method")).alias("payment_method"),
+            F.when(d != 1, F.col("country")).alias("country")))
+        # With d = 2 the total is quoted, which makes it a string.
+        value = (F.when(d == 7, F.lit('{"transaction_id":'))
+                 .when(d == 2, F.regexp_replace(body, '"total_amount":([^,]+),', '"total_amount":"$1",'))
+                 .otherwise(body))
+        return lines.select("message_id", F.lit("transaction").alias("kind"), value.alias("value"))
 
     def checked_cart_messages(self) -> DataFrame:
         """Cart JSON whose defects follow from k."""
@@ -249,6 +254,4 @@ class RetailTables:
 
 def _uuid(text: Column) -> Column:
     """32 hex digits of a digest in 8-4-4-4-12 form."""
-    h = F.md5(text)
-    return F.concat_ws("-", *[F.substring(h, start, size)
-                              for start, size in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    return F.regexp_replace(F.md5(text), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
