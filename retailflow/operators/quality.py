@@ -54,6 +54,9 @@ class Facts:
     def __init__(self, at: Callable[[str], Column]):
         self._at = at
 
+    def present(self) -> Column:
+        return self._at("present")
+
     def here(self, name: str) -> Column:
         return self._at(f"kind_{name}").isNotNull()
 
@@ -106,12 +109,12 @@ def _array_facts(f: Field, value: Column) -> dict[str, Column]:
         facts: dict[str, Column] = {}
         for p in parts:
             facts |= _scalar_facts(p, item[p.name] if f.element.properties else item)
-        return F.struct(*[c.alias(n) for n, c in facts.items()])
+        return F.struct(item.isNotNull().alias("present"), *[c.alias(n) for n, c in facts.items()])
 
     if not parts:
         described = cast("variant")
     else:
-        # NULL when some element of an object array is no object.
+        # An element that is no object becomes NULL.
         described = F.transform(cast(_shape(parts) if f.element.properties else "variant"), describe)
     return {f"kind_{f.name}": kind, f"items_{f.name}": described}
 
@@ -161,10 +164,10 @@ def _field_checks(f: Field, facts: Facts) -> list[Column]:
     if f.allowed is not None:
         checks.append(_when(kind.isNotNull() & ~F.coalesce(facts.text(f.name).isin(*f.allowed), F.lit(False)),
                             "enum", f.name))
-    return checks + (_array_checks(f, kind, facts.items(f.name)) if f.kind == "array" else [])
+    return checks + (_array_checks(f, facts.items(f.name)) if f.kind == "array" else [])
 
 
-def _array_checks(f: Field, kind: Column, items: Column) -> list[Column]:
+def _array_checks(f: Field, items: Column) -> list[Column]:
     checks = []
     if f.min_items is not None:
         checks.append(_when(F.size(items) < f.min_items, "min_items", f.name))
@@ -175,23 +178,26 @@ def _array_checks(f: Field, kind: Column, items: Column) -> list[Column]:
         return checks
 
     def some(test: Callable[[Facts], Column]) -> Column:
-        return F.exists(items, lambda i: F.coalesce(test(Facts(lambda name: i[name])), F.lit(True)))
+        return F.exists(items, lambda i: test(Facts(lambda name: i[name])))
+
+    def right(p: Field, e: Facts) -> Column:
+        return F.coalesce(_is_kind(e.kind(p.name), p.kind), F.lit(False))
 
     if not element.properties:
         name = f"{f.name}[]"
-        checks.append(_when(some(lambda e: ~_is_kind(e.kind(element.name), element.kind)), "type", name))
+        checks.append(_when(some(lambda e: ~right(element, e)), "type", name))
         for at, (rule, _) in enumerate(_bounds(element, Facts(lambda name: F.lit(None)))):
-            checks.append(_when(some(lambda e, at=at: _bounds(element, e)[at][1]), rule, name))
+            checks.append(_when(some(lambda e, at=at: right(element, e) & _bounds(element, e)[at][1]), rule, name))
         return checks
     checked = [p for p in element.properties if p.checked]
     if checked:
-        checks.append(_when((kind == "ARRAY") & items.isNull(), "type", f"{f.name}[]"))
+        checks.append(_when(F.exists(items, lambda i: ~i["present"]), "type", f"{f.name}[]"))
     for p in checked:
         def broken(e: Facts, p: Field = p) -> Column:
-            bad = ~_is_kind(e.kind(p.name), p.kind)
+            bad = ~right(p, e)
             for _, test in _bounds(p, e):
                 bad = bad | test
-            return bad
+            return e.present() & F.coalesce(bad, F.lit(True))
         checks.append(_when(some(broken), "item", f"{f.name}[].{p.name}"))
     return checks
 

@@ -10,8 +10,13 @@ from pyspark.sql import functions as F
 from retailflow.session import cut_lineage
 
 
-def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
+def _renamed(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.withColumnsRenamed({c: f"_{c}" for c in columns})
+
+
+def _same(columns: list[str]) -> Column:
+    """Null-safe equality with the ``_renamed`` side."""
+    return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns])
 
 
 def dense_rank_desc(df: DataFrame, value: str, name: str, within: tuple[str, ...] = ()) -> DataFrame:
@@ -34,9 +39,8 @@ def dense_rank_desc(df: DataFrame, value: str, name: str, within: tuple[str, ...
     shift = (sliced.groupBy(*within, "slice").agg(F.count(F.lit(1)).alias("values"))
              .withColumn("shift", F.coalesce(F.sum("values").over(before), F.lit(0)))
              .drop("values"))
-    numbered = sliced.withColumn("local", local)
-    ranks = (numbered.join(shift, _same(numbered, shift, [*within, "slice"]))
-             .select(*[numbered[k] for k in keys],
-                     (F.col("local") + F.col("shift")).cast("int").alias(name)))
-    return (df.join(ranks, _same(df, ranks, keys), "left")
-            .select(*[df[c] for c in df.columns], ranks[name]))
+    places = [*within, "slice"]
+    ranks = (sliced.withColumn("local", local)
+             .join(_renamed(shift, places), _same(places))
+             .select(*keys, (F.col("local") + F.col("shift")).cast("int").alias(name)))
+    return df.join(_renamed(ranks, keys), _same(keys), "left").select(*df.columns, name)

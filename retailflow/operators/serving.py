@@ -180,14 +180,14 @@ def category_conversion(products: DataFrame, views: DataFrame, sales: DataFrame)
     """
     versions = products.select("product_id_pk", "category", "is_current")
     viewed = (views.join(versions.filter("is_current"), "product_id_pk")
-              .groupBy("category").agg(F.count_distinct("event_id").alias("v")))
+              .groupBy(F.col("category").alias("v_category")).agg(F.count_distinct("event_id").alias("v")))
     sold = (sales.join(versions, "product_id_pk")
-            .groupBy("category").agg(F.count_distinct("transaction_id").alias("s")))
+            .groupBy(F.col("category").alias("s_category")).agg(F.count_distinct("transaction_id").alias("s")))
     every = versions.select("category").distinct()
-    joined = (every.join(viewed, every["category"].eqNullSafe(viewed["category"]), "left")
-              .join(sold, every["category"].eqNullSafe(sold["category"]), "left"))
+    joined = (every.join(viewed, F.col("category").eqNullSafe(F.col("v_category")), "left")
+              .join(sold, F.col("category").eqNullSafe(F.col("s_category")), "left"))
     zero = F.lit(0).cast("bigint")
-    return (joined.select(every["category"], F.coalesce("v", zero).alias("total_views"),
+    return (joined.select("category", F.coalesce("v", zero).alias("total_views"),
                           F.coalesce("s", zero).alias("total_sales"))
             .withColumn("conversion_rate", rounded_pct("total_sales", "total_views", 2))
             .orderBy(F.col("conversion_rate").desc_nulls_last(), "category"))

@@ -124,7 +124,10 @@ def read_version(spark: SparkSession, path: str, version: int | None = None) ->
     version = version or newest_version(spark, path)
     if version is None:
         raise FileNotFoundError(f"no committed version under {path}")
-    return spark.read.parquet(f"{path}/version={version}")
+    table = spark.read.parquet(f"{path}/version={version}")
+    # Partition values are read as text unless they look like numbers or dates.
+    flag = "is_current"
+    return table.withColumn(flag, F.col(flag).cast("boolean")) if dict(table.dtypes).get(flag) == "string" else table
 
 
 def newest_version(spark: SparkSession, path: str) -> int | None:
