@@ -48,19 +48,21 @@ def update_dimension(spark: SparkSession, path: str, incoming: DataFrame, natura
     return version
 
 
-def load_facts(spark: SparkSession, path: str, incoming: DataFrame, key: str = "event_id",
-               partition_by: str | None = None) -> None:
-    """Append facts that are not in the table yet."""
+def load_facts(spark: SparkSession, path: str, incoming: DataFrame, key: str = "event_id") -> int:
+    """Append facts that are not in the table yet; returns how many."""
     fresh = incoming.dropDuplicates([key])
     if path_exists(spark, path):
         fresh = facts.unseen(incoming, spark.read.parquet(path), key)
-    sinks.append(fresh, path)
+    return sinks.counted(fresh, lambda df: sinks.append(df, path))
 
 
 def run_batch(spark: SparkSession, root: str, lines: DataFrame, views: DataFrame, carts: DataFrame,
               catalog: DataFrame, countries: DataFrame, now: Column, analysis_date: Column,
-              scoring: Scoring = SCORING) -> None:
-    """One batch pass in dependency order: dimensions, facts, then the scores that read them."""
+              scoring: Scoring = SCORING) -> dict[str, int]:
+    """One batch pass in dependency order: dimensions, facts, then the scores that read them.
+
+    Returns the rows each fact and score table received.
+    """
     sinks.load_once(dimensions.date_dimension(
         date_range(lines.agg(F.trunc(F.min("transaction_timestamp"), "year").alias("start"),
                              F.last_day(F.max("transaction_timestamp")).alias("end")))), f"{root}/dim_date")
@@ -75,36 +77,40 @@ def run_batch(spark: SparkSession, root: str, lines: DataFrame, views: DataFrame
         products=sinks.read_version(spark, f"{root}/dim_products"),
         geography=sinks.read_version(spark, f"{root}/dim_geography"),
         dates=spark.read.parquet(f"{root}/dim_date"))
-    load_facts(spark, f"{root}/fact_sales", facts.fact_sales(lines, star))
-    load_facts(spark, f"{root}/fact_product_views", facts.fact_product_views(views, star))
-    load_facts(spark, f"{root}/fact_cart_events", facts.fact_cart_events(carts, star))
+    written = {
+        "fact_sales": load_facts(spark, f"{root}/fact_sales", facts.fact_sales(lines, star)),
+        "fact_product_views": load_facts(
+            spark, f"{root}/fact_product_views", facts.fact_product_views(views, star)),
+        "fact_cart_events": load_facts(spark, f"{root}/fact_cart_events", facts.fact_cart_events(carts, star))}
     for name, build in scores(spark, root, star, analysis_date, scoring).items():
-        build(f"{root}/{name}")
+        written[name] = build(f"{root}/{name}")
+    return written
 
 
 def scores(spark: SparkSession, root: str, star: facts.Star, analysis_date: Column,
-           scoring: Scoring = SCORING) -> dict[str, Callable[[str], None]]:
+           scoring: Scoring = SCORING) -> dict[str, Callable[[str], int]]:
     """Writers of the four analytics tables, in the order they must run."""
     sales = spark.read.parquet(f"{root}/fact_sales")
     views = spark.read.parquet(f"{root}/fact_product_views")
 
-    def rfm(path: str) -> None:
+    def rfm(path: str) -> int:
         by_user = facts.natural_keys(sales, star.customers, "customer_id", "user_id")
         scored = analytics.rfm_scores(analytics.rfm_metrics(by_user, analysis_date), scoring)
-        sinks.replace_partitions(analytics.rfm_segments(scored), path)
+        return sinks.counted(analytics.rfm_segments(scored), lambda df: sinks.replace_partitions(df, path))
 
-    def performance(path: str) -> None:
+    def performance(path: str) -> int:
         table = analytics.product_performance(
             sold_products(sales, star), facts.natural_keys(views, star.products, "product_id_pk", "product_id"))
-        sinks.replace_partitions(
-            analytics.product_ranks(table, scoring).withColumn("analysis_date", analysis_date), path)
+        ranked = analytics.product_ranks(table, scoring).withColumn("analysis_date", analysis_date)
+        return sinks.counted(ranked, lambda df: sinks.replace_partitions(df, path))
 
-    def trends(path: str) -> None:
-        sinks.replace_partitions(analytics.sales_trends(sold_products(sales, star, "left"), analysis_date), path)
+    def trends(path: str) -> int:
+        table = analytics.sales_trends(sold_products(sales, star, "left"), analysis_date)
+        return sinks.counted(table, lambda df: sinks.replace_partitions(df, path))
 
-    def segments(path: str) -> None:
+    def segments(path: str) -> int:
         rfm_table = spark.read.parquet(f"{root}/rfm_analysis").filter(F.col("analysis_date") == analysis_date)
-        sinks.replace_all(analytics.customer_segments(rfm_table), path)
+        return sinks.counted(analytics.customer_segments(rfm_table), lambda df: sinks.replace_all(df, path))
 
     return {"rfm_analysis": rfm, "product_performance": performance, "sales_trends": trends,
             "customer_segments": segments}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
@@ -83,6 +83,17 @@ def start_console(df: DataFrame, name: str, output_mode: str = "update") -> Stre
 
 # --- batch tables ----------------------------------------------------------------------------
 
+def counted(df: DataFrame, write: Callable[[DataFrame], object]) -> int:
+    """Rows that passed into ``write``, observed while it runs instead of counted by another job."""
+    seen = Observation()
+    write(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    return seen.get["rows"]
+
+
+def write_jdbc(df: DataFrame, db: Jdbc, table: str, mode: str = "append") -> None:
+    df.write.format("jdbc").options(**db.options(table=table)).mode(mode).save()
+
+
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 

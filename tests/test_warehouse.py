@@ -146,9 +146,14 @@ def test_run_batch_twice(spark, tmp_path, rows):
     carts = views.select("event_id", "user_id", "product_id", "event_timestamp", "country", "session_id",
                          F.lit("checkout").alias("event_type"), F.lit(1).alias("quantity"), F.lit(2.0).alias("cart_value"))
     catalog = spark.createDataFrame([("p1", "shoe", "c1", 2.0)], "product_id string, name string, category string, price double")
+    written = []
     for run, analysis in ((T2, "2024-02-01"), (T3, "2024-03-01"), (T3, "2024-03-01")):
-        warehouse.run_batch(spark, root, sales, views, carts, catalog, tables.geography_rows(spark, GEOGRAPHY_ROWS),
-                            ts(run), F.lit(analysis).cast("date"))
+        written.append(warehouse.run_batch(
+            spark, root, sales, views, carts, catalog, tables.geography_rows(spark, GEOGRAPHY_ROWS),
+            ts(run), F.lit(analysis).cast("date")))
+    assert written[0] == {"fact_sales": 2, "fact_product_views": 1, "fact_cart_events": 1, "rfm_analysis": 2,
+                          "product_performance": 1, "sales_trends": 3, "customer_segments": 1}
+    assert [w["fact_sales"] for w in written] == [2, 0, 0] and written[2]["rfm_analysis"] == 2
 
     def read(name):
         return spark.read.parquet(f"{root}/{name}")
