@@ -25,12 +25,9 @@ def duration(text: str) -> timedelta:
 def in_range(ts: Column | str, start, end) -> Column:
     """Half-open range on the bare column, so it reaches the file scan as a pushed filter."""
     c = F.col(ts) if isinstance(ts, str) else ts
-    keep = F.lit(True)
-    if start is not None:
-        keep = c >= F.lit(start)
-    if end is not None:
-        keep = keep & (c < F.lit(end)) if start is not None else c < F.lit(end)
-    return keep
+    if start is None or end is None:
+        return c >= start if end is None else c < end
+    return (c >= start) & (c < end)
 
 
 def month_label(ts: Column) -> Column:

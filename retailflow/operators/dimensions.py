@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from retailflow.config import OPEN_END, SCORING, Scoring
 from retailflow.functions.labels import at_least
-from retailflow.functions.money import cents, from_cents, money_sum
+from retailflow.functions.money import money_sum
 
 SCD_COLUMNS = ("effective_start_date", "effective_end_date", "is_current")
 
