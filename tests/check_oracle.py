@@ -45,7 +45,9 @@ def compare(spark, con, key, folder):
         return f"rows {len(a)} vs {len(b)}; first difference\n  {diff and diff[0]}\n  {diff and diff[1]}"
     if odd:
         return f"types {odd}"
-    return None if a else "empty"
+    if not a:
+        print(f"     {key}: no rows in either", flush=True)
+    return None
 
 
 def main(argv):
