@@ -36,9 +36,9 @@ def first_match(rules: Sequence[tuple[Column, str]], default: str) -> Column:
 
 
 def content_id(*parts: Column | str) -> Column:
-    """Id that a replay of the same record reproduces."""
+    """Id that a replay of the same record reproduces; a NULL part keeps its place."""
     cols = [F.col(p) if isinstance(p, str) else p for p in parts]
-    return F.sha2(F.concat_ws("|", *[c.cast("string") for c in cols]), 256)
+    return F.sha2(F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("\0")) for c in cols]), 256)
 
 
 def count_where(condition: Column) -> Column:

@@ -26,11 +26,11 @@ def high_value_anomalies(transactions: DataFrame, cfg: Realtime = REALTIME) -> D
 
 
 def high_quantity_anomalies(lines: DataFrame, cfg: Realtime = REALTIME) -> DataFrame:
-    """One row per offending product of a transaction."""
+    """One row per offending product of a transaction; ``line_no`` is kept where there is one."""
     low, high = cfg.high_quantity
     return lines.filter(F.col("quantity") >= low).select(
         "transaction_id", "user_id", "timestamp", "total_amount", "payment_method", "country",
-        "product_id", "quantity",
+        "product_id", "quantity", *([c for c in ("line_no",) if c in lines.columns]),
         F.lit("high_quantity").alias("anomaly_type"),
         F.concat(F.lit("Product quantity "), F.col("quantity").cast("string"),
                  F.lit(f" exceeds threshold {low}")).alias("anomaly_reason"),
@@ -96,7 +96,7 @@ def anomalies_in_place(transactions: DataFrame, cfg: Realtime = REALTIME) -> Dat
 
 def critical_alerts(anomalies: DataFrame, source: str = "AnomalyDetector") -> DataFrame:
     """Alert records of the critical rows; the id repeats when a batch is replayed."""
-    identity = [c for c in ("transaction_id", "anomaly_type", "product_id", "quantity") if c in anomalies.columns]
+    identity = [c for c in ("transaction_id", "anomaly_type", "product_id", "quantity", "line_no") if c in anomalies.columns]
     return anomalies.filter(F.col("severity") == "critical").select(
         content_id(*identity).alias("alert_id"),
         F.lit("anomaly").alias("alert_type"), "severity",

@@ -63,7 +63,8 @@ def search_hits(queries: DataFrame, catalog: DataFrame) -> DataFrame:
            .select("name", "category", "products", "p.at", "p.text", F.explode("sizes").alias("size"))
            .filter(F.col("at") + F.col("size") - 1 <= F.length("text"))
            .withColumn("q", F.substring(F.col("text"), F.col("at"), F.col("size"))))
-    found = (cut.select("name", "category", "products", "q").distinct()
+    # Few of the substrings are wanted; the others leave before anything is gathered.
+    found = (cut.join(wanted, "q", "left_semi").select("name", "category", "products", "q").distinct()
              .groupBy("q").agg(F.sum("products").alias("results")))
     return (wanted.join(found, "q", "left")
             .select(F.col("q").alias("search_query"),

@@ -15,13 +15,16 @@ from retailflow.schemas import CORRUPT
 def decode(messages: DataFrame, schema: StructType, value: str = "value") -> DataFrame:
     """JSON message bytes or text to typed columns.
 
-    A message that is not JSON gives NULLs and keeps its text in ``_corrupt_record``;
+    A field of the wrong type is NULL, the other fields of the message stay. Text from which no
+    field can be read keeps its form in ``_corrupt_record``, which is NULL otherwise;
     ``timestamp`` becomes event time (NULL if unparsable).
     """
     full = StructType([*schema.fields, StructField(CORRUPT, StringType())])
     parsed = F.from_json(F.col(value).cast("string"), full,
                          {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    known = F.coalesce(*[F.col(f.name).cast("string") for f in schema.fields])
     return (messages.select(parsed.alias("data")).select("data.*")
+            .withColumn(CORRUPT, F.when(known.isNull(), F.col(CORRUPT)))
             .withColumn("timestamp", parse_iso("timestamp")))
 
 
@@ -49,13 +52,22 @@ def reconcile_carts(carts: DataFrame) -> DataFrame:
             .withColumn("quantity", F.coalesce("quantity", "new_quantity")))
 
 
+#: What folds the spellings of a topic's producers, applied right after decoding.
+RECONCILE = {"product_views": reconcile_views, "cart_events": reconcile_carts}
+
+
+def events_of(topic: str, decoded: DataFrame) -> DataFrame:
+    """Readable events of a topic with one spelling per field."""
+    return RECONCILE.get(topic, lambda df: df)(readable(decoded))
+
+
 def explode_products(transactions: DataFrame) -> DataFrame:
-    """One row per purchased product; transactions without products give no row."""
+    """One row per purchased product with its place; transactions without products give no row."""
     return (transactions
             .select("transaction_id", "user_id", "timestamp", "total_amount", "payment_method", "country",
-                    F.explode("products").alias("p"))
+                    F.posexplode("products").alias("line_no", "p"))
             .select("transaction_id", "user_id", "timestamp", "total_amount", "payment_method", "country",
-                    "p.product_id", "p.quantity", F.col("p.price").alias("unit_price")))
+                    "p.product_id", "p.quantity", F.col("p.price").alias("unit_price"), "line_no"))
 
 
 def line_items(transactions: DataFrame) -> DataFrame:

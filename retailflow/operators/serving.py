@@ -133,17 +133,21 @@ def _stack(tables: dict[str, DataFrame], measure, name: str) -> DataFrame:
 # --- warehouse reports -----------------------------------------------------------------------
 
 def latest(table: DataFrame) -> DataFrame:
-    """Rows of the newest analysis date; on a table partitioned by it only that partition is read."""
+    """Rows of the newest analysis date; on a table partitioned by it only that partition is read.
+
+    Meant for stored tables: the newest date is a query of its own. Rows computed for one date are given to
+    the reports as they are, with ``one_date``.
+    """
     return table.filter(F.col("analysis_date") == table.agg(F.max("analysis_date")).scalar())
 
 
-def top_products(performance: DataFrame, n: int = 10) -> DataFrame:
-    return (latest(performance).orderBy(F.col("total_revenue").desc(), "product_id").limit(n)
+def top_products(performance: DataFrame, n: int = 10, one_date: bool = False) -> DataFrame:
+    return ((performance if one_date else latest(performance)).orderBy(F.col("total_revenue").desc(), "product_id").limit(n)
             .select("product_id", "category", "total_sales", "total_revenue", "conversion_rate"))
 
 
-def top_products_view(performance: DataFrame, n: int = 100) -> DataFrame:
-    return (latest(performance).orderBy(F.col("total_revenue").desc(), "product_id").limit(n)
+def top_products_view(performance: DataFrame, n: int = 100, one_date: bool = False) -> DataFrame:
+    return ((performance if one_date else latest(performance)).orderBy(F.col("total_revenue").desc(), "product_id").limit(n)
             .select("product_id", "category", "total_sales", "total_revenue", "total_quantity",
                     "conversion_rate", "performance_tier", "analysis_date"))
 
@@ -162,7 +166,7 @@ def _orders_and_revenue() -> list[Column]:
 
 
 def daily_trend(sales: DataFrame, dates: DataFrame, n: int = 30) -> DataFrame:
-    return (sales.join(dates.select("date_id", "date"), "date_id").groupBy("date").agg(*_orders_and_revenue())
+    return (sales.join(dates.select("date_id", "date"), "date_id", "left").groupBy("date").agg(*_orders_and_revenue())
             .orderBy(F.col("date").desc()).limit(n))
 
 
@@ -199,8 +203,8 @@ def top_customers(customers: DataFrame, n: int = 20) -> DataFrame:
                     "first_transaction_date", "last_transaction_date"))
 
 
-def champions(rfm: DataFrame, n: int = 50) -> DataFrame:
-    return (latest(rfm).filter(F.col("rfm_segment") == "Champions")
+def champions(rfm: DataFrame, n: int = 50, one_date: bool = False) -> DataFrame:
+    return ((rfm if one_date else latest(rfm)).filter(F.col("rfm_segment") == "Champions")
             .orderBy(F.col("monetary_value").desc(), "user_id").limit(n)
             .select("user_id", "recency_days", "frequency_count", "monetary_value", "rfm_segment"))
 

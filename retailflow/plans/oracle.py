@@ -308,10 +308,6 @@ _ORDERS = (f"count(distinct transaction_id) as num_orders, {_money('total_amount
            f"{_mavg('total_amount')} as avg_order_value")
 
 
-def _late(table: str, lateness: str = "30 minutes") -> str:
-    return f"(select max(\"timestamp\") - interval '{lateness}' from {table})"
-
-
 BODIES: dict[str, str] = {
     "src_table": "select o_orderkey, o_custkey, o_totalprice from orders where o_orderdate >= timestamp '1998-01-01'",
     "src_query": """select o_orderpriority as payment_method, count(*) as orders, max(o_totalprice) as largest
@@ -321,8 +317,14 @@ BODIES: dict[str, str] = {
       case when k <> 13 then event_type end as event_type, case when k <> 13 then "timestamp" end as "timestamp",
       case when k <> 13 then user_id end as user_id, case when k <> 13 then session_id end as session_id,
       case when k <> 13 then product_id end as product_id, case when k <> 13 then quantity end as quantity,
-      case when k <> 13 then cart_value end as cart_value, case when k <> 13 then country end as country,
+      case when k not in (13, 17) then cart_value end as cart_value, case when k <> 13 then country end as country,
       k = 13 as is_corrupt from fx_carts""",
+    "decode_quarantine": "select '{'||event_id as value from fx_carts where k = 13",
+    "cart_projection": f"""select {_uuid('event_id')} as event_id, case when k = 7 then 'wish' else event_type end as event_type,
+      case when event_type = 'update_quantity' then k % 2 + 1 else quantity end as quantity,
+      case when event_type = 'checkout' then ((k % 3 + 1) * (k % 4) * p.price::decimal(18,2))::double + k % 2
+           when k = 19 then -1.0 else cart_value end as cart_value, c.country
+      from fx_carts c join fx_products p on p_partkey = k""",
     "line_items": """select transaction_id, sha256(transaction_id||'|'||i) as line_item_id, user_id, product_id,
       quantity, unit_price, (quantity * unit_price::decimal(18,2))::double as total_amount,
       0.0::double as discount_amount, payment_method, country, "timestamp" as transaction_timestamp
@@ -377,6 +379,10 @@ BODIES: dict[str, str] = {
       severity, 'Critical anomaly detected: '||anomaly_reason as title, anomaly_reason as message,
       'AnomalyDetector' as source, false as resolved, transaction_id, user_id, total_amount, country, anomaly_type
       from t_high_value where severity = 'critical'""",
+    "alerts_critical_quantity": """select sha256(concat_ws('|', transaction_id, 'high_quantity', product_id, quantity, l_linenumber))
+        as alert_id, 'critical' as severity, 'Critical anomaly detected: Product quantity '||quantity||' exceeds threshold 40' as title,
+      'Product quantity '||quantity||' exceeds threshold 40' as message, transaction_id, user_id, total_amount, country,
+      'high_quantity' as anomaly_type from fx_lines where quantity >= 50""",
     "product_sales_velocity": _win("30 days", "product_id", f"""sum(quantity)::bigint as units_sold,
       {_line()} as total_revenue, {_mavg('unit_price')} as avg_price""", "fx_lines"),
     "inventory_by_country": _win("30 days", "product_id, country", f"""sum(quantity)::bigint as units_sold,
@@ -389,12 +395,12 @@ BODIES: dict[str, str] = {
       when sum(quantity) / 30.0::double >= 2 then 'medium' else 'low' end as urgency""", "fx_lines",
                            having="sum(quantity) / 30.0::double >= 1"),
     "inventory_metrics": "select * from t_inventory",
-    "stream_sales_by_country": f"select * from t_country where window_end <= {_late('fx_tx')}",
-    "stream_abandoned_carts": f"select * from t_abandoned where window_end <= {_late('fx_carts')}",
-    "stream_cart_sessions": f"select * from t_sessions where window_end <= {_late('fx_carts')}",
-    "stream_product_velocity": "select * from (" + _win(
+    "stream_sales_by_country": "select * from t_country",
+    "stream_abandoned_carts": "select * from t_abandoned",
+    "stream_cart_sessions": "select * from t_sessions",
+    "stream_product_velocity": _win(
         "30 days", "product_id", f"""sum(quantity)::bigint as units_sold, {_line()} as total_revenue,
-      {_mavg('unit_price')} as avg_price""", "fx_lines") + f") where window_end <= {_late('fx_lines')}",
+      {_mavg('unit_price')} as avg_price""", "fx_lines"),
     "validate_transactions": "select message_id, errors from m_tx",
     "validate_carts": "select message_id, errors from m_cart",
     "validate_views": "select message_id, errors from m_view",
@@ -431,6 +437,9 @@ BODIES: dict[str, str] = {
     "incremental_load": """select distinct line_item_id as event_id, transaction_id, user_id, product_id, quantity,
       total_amount, transaction_timestamp from fx_sales s where not exists (select 1 from fx_sales e
         where e.line_item_id = s.line_item_id and e.transaction_timestamp < timestamp '2000-01-01')""",
+    "batch_two_days": """select line_item_id as event_id, strftime(transaction_timestamp, '%Y%m%d')::int as date_id, transaction_id,
+      quantity, total_amount, transaction_timestamp from fx_sales
+      where transaction_timestamp::date in (date '1998-10-03', date '2000-02-29') group by all""",
     "rfm_metrics": "select * from a_metrics",
     "rfm_scores": "select * from a_scores",
     "rfm_segments": "select * from a_rfm",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import cached_property
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,8 @@ from retailflow.operators import analytics, anomalies, catalog, dimensions, fact
 from retailflow.plans import warehouse
 from retailflow.sources import tables as table_sources
 from retailflow.sources.fixtures import REGION_ROWS, RetailTables
-from retailflow.sources.streams import with_event_time
+from retailflow.session import shared_folder
+from retailflow.sources.streams import file_stream, with_event_time
 from retailflow.streaming.replay import replay
 
 #: Parameters under which every label and filter of the operators has rows on these tables.
@@ -38,6 +40,7 @@ SNAPSHOT = "2000-01-01"
 LOADED_AT = "2000-01-01 00:00:00"
 MERGED_AT = "2001-08-02 00:00:00"
 BATCH_DATE = "1998-10-03"
+LATER_BATCH_DATE = "2000-02-29"
 REPORT_RANGE = ("1996-01-01", "2000-12-31")
 
 
@@ -153,7 +156,7 @@ def _src_query(w: Workload) -> DataFrame:
     return table_sources.query(
         w.spark,
         """select o_orderpriority as payment_method, count(*) as orders, max(o_totalprice) as largest
-           from orders_src where o_totalprice >= :least group by o_orderpriority""",
+           from {orders_src} where o_totalprice >= :least group by o_orderpriority""",
         {"orders_src": w.data.raw("orders")}, {"least": 100000})
 
 
@@ -173,6 +176,24 @@ def _messages(w: Workload) -> DataFrame:
         F.col("event_id").alias("offset"), F.col("ts").cast("timestamp").alias("timestamp"))
 
 
+def _cart_projection(w: Workload) -> DataFrame:
+    """Carts as the raw table stores them: checkout totals and updated quantities are filled in."""
+    decoded = ingest.decode(w.data.checked_cart_messages(), schemas.CART_EVENT)
+    return ingest.cart_events(ingest.events_of("cart_events", decoded)).select(
+        "event_id", "event_type", "quantity", "cart_value", "country")
+
+
+def _batch_two_days(w: Workload) -> DataFrame:
+    """Sales facts after two batch runs on days of different years."""
+    root = f"{shared_folder(w.spark)}/batch-{uuid4().hex}"
+    for day in (BATCH_DATE, LATER_BATCH_DATE):
+        warehouse.run_batch(w.spark, root, w.sales, ingest.view_events(w.views), ingest.cart_events(w.carts),
+                            w.data.products(), w.geography, F.lit(day).cast("timestamp"), F.lit(day).cast("date"),
+                            SCORING, batch_date=day)
+    return w.spark.read.parquet(f"{root}/fact_sales").select(
+        "event_id", "date_id", "transaction_id", "quantity", "total_amount", "transaction_timestamp")
+
+
 # --- validation ------------------------------------------------------------------------------
 
 def _validated(messages: DataFrame, rules: quality.Ruleset) -> DataFrame:
@@ -211,13 +232,25 @@ def _scd2_columns(df: DataFrame) -> DataFrame:
 
 # --- streams -------------------------------------------------------------------------------------
 
-def _stream(op: Callable[[Workload], DataFrame], *tables: str) -> Callable[[Workload], DataFrame]:
-    """Run a windowed operator as an append-mode stream over the files of ``tables``."""
+def _stream(op: Callable[[Workload], DataFrame], *tables: str, mode: str = "complete") -> Callable[[Workload], DataFrame]:
+    """Run an operator as a stream over the files of ``tables`` until they are used up.
+
+    Windows replay in complete mode, so those still open at the end are returned as well.
+    """
     def run(w: Workload) -> DataFrame:
-        return replay(op(Workload(w.spark, w.data.folder, frozenset(tables))))
+        return replay(op(Workload(w.spark, w.data.folder, frozenset(tables))), mode)
     return run
 
 
+def _stream_velocity(w: Workload) -> DataFrame:
+    """Sales velocity of a stream of transaction messages with nested products."""
+    folder = f"{shared_folder(w.spark)}/messages-{uuid4().hex}"
+    w.data.line_messages().write.text(folder)
+    messages = file_stream(w.spark, folder, schemas.TEXT, fmt="text")
+    events = ingest.events_of("transactions", ingest.decode(messages, schemas.TRANSACTION))
+    return replay(windows.product_sales_velocity(ingest.explode_products(_timed(events)), REALTIME), "complete")
+
+
 def _timed(df: DataFrame) -> DataFrame:
     return with_event_time(df, "timestamp", "30 minutes")
 
@@ -226,8 +259,11 @@ QUERIES: dict[str, Callable[[Workload], DataFrame]] = {
     # sources and decode
     "src_table": _src_table,
     "src_query": _src_query,
-    "src_stream_files": _stream(lambda w: w.data.raw("events").select("event_id", "event_type", "value"), "events"),
+    "src_stream_files": _stream(lambda w: w.data.raw("events").select("event_id", "event_type", "value"), "events",
+                                mode="append"),
     "decode_events": _decoded,
+    "decode_quarantine": lambda w: ingest.corrupt(ingest.decode(w.data.cart_messages(), schemas.CART_EVENT)),
+    "cart_projection": _cart_projection,
     "line_items": lambda w: ingest.line_items(w.data.baskets()),
     "view_events": lambda w: ingest.view_events(w.views),
     "cart_events": lambda w: ingest.cart_events(w.carts),
@@ -250,6 +286,9 @@ QUERIES: dict[str, Callable[[Workload], DataFrame]] = {
         anomalies.anomalies_in_place(w.data.baskets(), REALTIME), REALTIME),
     "alerts_critical": lambda w: anomalies.critical_alerts(w.high_value).select(
         "alert_id", "alert_type", "severity", "title", "message", "source", "resolved", "metadata.*"),
+    "alerts_critical_quantity": lambda w: anomalies.critical_alerts(anomalies.high_quantity_anomalies(
+        w.lines.withColumnRenamed("l_linenumber", "line_no"), REALTIME)).select(
+        "alert_id", "severity", "title", "message", "metadata.*"),
     "product_sales_velocity": lambda w: windows.product_sales_velocity(w.lines, REALTIME),
     "inventory_by_country": lambda w: windows.inventory_by_country(w.lines, REALTIME),
     "high_demand_alerts": lambda w: windows.high_demand_alerts(w.lines, REALTIME),
@@ -260,8 +299,7 @@ QUERIES: dict[str, Callable[[Workload], DataFrame]] = {
         lambda w: windows.sales_by_country(_timed(w.transactions), REALTIME), "orders"),
     "stream_abandoned_carts": _stream(lambda w: windows.abandoned_carts(_timed(w.carts), REALTIME), "events"),
     "stream_cart_sessions": _stream(lambda w: windows.cart_sessions(_timed(w.carts), REALTIME), "events"),
-    "stream_product_velocity": _stream(
-        lambda w: windows.product_sales_velocity(_timed(w.lines), REALTIME), "orders"),
+    "stream_product_velocity": _stream_velocity,
     # validation
     "validate_transactions": lambda w: _shown(_validated(
         w.data.basket_messages(), quality.transaction_rules(WORDS))),
@@ -290,6 +328,7 @@ QUERIES: dict[str, Callable[[Workload], DataFrame]] = {
     "fact_product_views": lambda w: w.resolved(w.fact_views),
     "fact_cart_events": lambda w: w.resolved(facts.fact_cart_events(ingest.cart_events(w.carts), w.star)),
     "incremental_load": _incremental,
+    "batch_two_days": _batch_two_days,
     # analytics
     "rfm_metrics": lambda w: w.rfm_metrics,
     "rfm_scores": lambda w: w.rfm_scores,
@@ -325,18 +364,18 @@ QUERIES: dict[str, Callable[[Workload], DataFrame]] = {
         {job: t for job, t in w.job_tables.items() if job != "Anomaly Detector"}),
     "ts_severity": lambda w: serving.severity_series(w.stats),
     # warehouse reports
-    "wh_top_products": lambda w: serving.top_products(w.ranks),
+    "wh_top_products": lambda w: serving.top_products(w.performance, one_date=True),
     "wh_segment_share": lambda w: serving.segment_share(w.segments),
     "wh_daily_trend": lambda w: serving.daily_trend(w.fact_sales, w.star.dates),
     "wh_conversion": lambda w: serving.category_conversion(w.star.products, w.fact_views, w.fact_sales),
     "wh_clv_top": lambda w: serving.top_customers(w.customer_history),
     "wh_sales_country": lambda w: serving.sales_by_geography(w.fact_sales, w.star.geography),
-    "wh_champions": lambda w: serving.champions(w.rfm),
+    "wh_champions": lambda w: serving.champions(w.rfm, one_date=True),
     "wh_hourly": lambda w: serving.hourly_revenue(
         ingest.time_range(w.sales, "transaction_timestamp", *REPORT_RANGE)),
     "critical_anomalies": lambda w: anomalies.recent_critical(w.high_value, w.high_quantity, "timestamp"),
     "v_clv": lambda w: serving.customer_lifetime_value(w.customer_history),
-    "v_top_products": lambda w: serving.top_products_view(w.ranks),
+    "v_top_products": lambda w: serving.top_products_view(w.ranks, one_date=True),
     # catalog
     "traffic_bands": lambda w: catalog.traffic_bands(w.views),
     "category_types": lambda w: catalog.category_types(

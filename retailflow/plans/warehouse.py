@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retailflow.config import SCORING, Scoring
-from retailflow.operators import analytics, dimensions, facts
+from retailflow.operators import analytics, dimensions, facts, ingest
 from retailflow.sources.tables import date_range, path_exists
 from retailflow.streaming import sinks
 
@@ -41,31 +42,60 @@ def update_dimension(spark: SparkSession, path: str, incoming: DataFrame, natura
     else:
         merged = dimensions.scd2_merge(sinks.read_version(spark, path), incoming, natural, now, ignore)
     keyed = merged.withColumn(surrogate, dimensions.surrogate(natural))
-    version = sinks.publish_version(keyed, path)
-    clash = dimensions.colliding_keys(sinks.read_version(spark, path, version), surrogate)
-    if not clash.isEmpty():
-        raise ValueError(f"surrogate {surrogate} repeats in version {version} of {path}")
-    return version
+    # Both tests precede the version's commit marker, so readers never see a version that fails.
+    if not dimensions.colliding_keys(incoming, natural).isEmpty():
+        raise ValueError(f"{natural} repeats in the rows for {path}")
+    if not dimensions.colliding_keys(keyed, surrogate).isEmpty():
+        raise ValueError(f"surrogate {surrogate} would repeat in {path}")
+    return sinks.publish_version(keyed, path)
+
+
+def extend_calendar(spark: SparkSession, path: str, *times: DataFrame) -> int:
+    """Append the days of the years that the given times (one-column frames) touch and the calendar lacks."""
+    bounds = [df.select(F.min(df.columns[0]).alias("first"), F.max(df.columns[0]).alias("last")) for df in times]
+    span = reduce(DataFrame.unionAll, bounds)
+    if path_exists(spark, path):
+        known = spark.read.parquet(path)
+        # Years between the calendar and the new days are filled as well.
+        span = span.unionAll(known.select(F.min("date").cast("timestamp"), F.max("date").cast("timestamp")))
+    days = calendar(span.select(F.explode(F.array("first", "last")).alias("ts")).filter("ts is not null"), "ts")
+    if path_exists(spark, path):
+        days = days.join(known.select("date_id"), "date_id", "left_anti")
+    days = days.select("date_id", *[c for c in days.columns if c != "date_id"])
+    return sinks.counted(days, lambda df: sinks.append(df, path))
 
 
 def load_facts(spark: SparkSession, path: str, incoming: DataFrame, key: str = "event_id") -> int:
-    """Append facts that are not in the table yet; returns how many."""
+    """Append facts that are not in the table yet; returns how many.
+
+    The table is partitioned by ``date_id``. An id stands for one event and so for one day: only the days
+    of the incoming facts, and those without a day, are searched for their ids.
+    """
     fresh = incoming.dropDuplicates([key])
     if path_exists(spark, path):
-        fresh = facts.unseen(incoming, spark.read.parquet(path), key)
-    return sinks.counted(fresh, lambda df: sinks.append(df, path))
+        dates = [r.date_id for r in incoming.select("date_id").distinct().collect()]  # days of one batch
+        stored = spark.read.schema(incoming.schema).parquet(path)
+        fresh = facts.unseen(incoming, facts.of_dates(stored, dates), key)
+    return sinks.counted(fresh, lambda df: sinks.append(df, path, "date_id"))
 
 
 def run_batch(spark: SparkSession, root: str, lines: DataFrame, views: DataFrame, carts: DataFrame,
               catalog: DataFrame, countries: DataFrame, now: Column, analysis_date: Column,
-              scoring: Scoring = SCORING) -> dict[str, int]:
+              scoring: Scoring = SCORING, batch_date=None, days: int | None = None, today=None) -> dict[str, int]:
     """One batch pass in dependency order: dimensions, facts, then the scores that read them.
 
-    Returns the rows each fact and score table received.
+    Facts are loaded from one ``batch_date``, from the last ``days`` up to ``today``, or, with neither, from all
+    rows given. Returns the rows each fact and score table received.
     """
-    sinks.load_once(dimensions.date_dimension(
-        date_range(lines.agg(F.trunc(F.min("transaction_timestamp"), "year").alias("start"),
-                             F.last_day(F.max("transaction_timestamp")).alias("end")))), f"{root}/dim_date")
+    def batch(events: DataFrame, ts: str) -> DataFrame:
+        if batch_date is None and days is None:
+            return events
+        return ingest.batch_slice(events, ts, batch_date, today, days or 7)
+
+    new_lines = batch(lines, "transaction_timestamp")
+    new_views, new_carts = batch(views, "event_timestamp"), batch(carts, "event_timestamp")
+    extend_calendar(spark, f"{root}/dim_date", new_lines.select("transaction_timestamp"),
+                    new_views.select("event_timestamp"), new_carts.select("event_timestamp"))
     customers = dimensions.customer_dimension(dimensions.customer_stats(lines), scoring)
     update_dimension(spark, f"{root}/dim_geography", countries, "country", "geography_id", now)
     update_dimension(spark, f"{root}/dim_customers", customers, "user_id", "customer_id", now)
@@ -77,21 +107,21 @@ def run_batch(spark: SparkSession, root: str, lines: DataFrame, views: DataFrame
         products=sinks.read_version(spark, f"{root}/dim_products"),
         geography=sinks.read_version(spark, f"{root}/dim_geography"),
         dates=spark.read.parquet(f"{root}/dim_date"))
-    written = {
-        "fact_sales": load_facts(spark, f"{root}/fact_sales", facts.fact_sales(lines, star)),
-        "fact_product_views": load_facts(
-            spark, f"{root}/fact_product_views", facts.fact_product_views(views, star)),
-        "fact_cart_events": load_facts(spark, f"{root}/fact_cart_events", facts.fact_cart_events(carts, star))}
-    for name, build in scores(spark, root, star, analysis_date, scoring).items():
+    incoming = {"fact_sales": facts.fact_sales(new_lines, star),
+                "fact_product_views": facts.fact_product_views(new_views, star),
+                "fact_cart_events": facts.fact_cart_events(new_carts, star)}
+    written = {name: load_facts(spark, f"{root}/{name}", rows) for name, rows in incoming.items()}
+    # A batch without rows of a kind leaves a folder without files, whose schema can't be read from it.
+    sales, views_table = (spark.read.schema(incoming[name].schema).parquet(f"{root}/{name}")
+                          for name in ("fact_sales", "fact_product_views"))
+    for name, build in scores(spark, root, star, sales, views_table, analysis_date, scoring).items():
         written[name] = build(f"{root}/{name}")
     return written
 
 
-def scores(spark: SparkSession, root: str, star: facts.Star, analysis_date: Column,
-           scoring: Scoring = SCORING) -> dict[str, Callable[[str], int]]:
-    """Writers of the four analytics tables, in the order they must run."""
-    sales = spark.read.parquet(f"{root}/fact_sales")
-    views = spark.read.parquet(f"{root}/fact_product_views")
+def scores(spark: SparkSession, root: str, star: facts.Star, sales: DataFrame, views: DataFrame,
+           analysis_date: Column, scoring: Scoring = SCORING) -> dict[str, Callable[[str], int]]:
+    """Writers of the four analytics tables, in the order they must run, from the stored facts."""
 
     def rfm(path: str) -> int:
         by_user = facts.natural_keys(sales, star.customers, "customer_id", "user_id")

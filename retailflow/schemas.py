@@ -45,4 +45,6 @@ KAFKA = _struct(
     key=BinaryType(), value=BinaryType(), topic=_STRING, partition=_INT, offset=_LONG,
     timestamp=TimestampType(), timestampType=_INT)
 
+TEXT = _struct(value=_STRING)
+
 TOPICS = {"transactions": TRANSACTION, "product_views": PRODUCT_VIEW, "cart_events": CART_EVENT}

@@ -158,12 +158,20 @@ class RetailTables:
     # --- messages -----------------------------------------------------------------------
 
     def cart_messages(self) -> DataFrame:
-        """JSON text of the cart events; those with k = 13 are cut short."""
+        """JSON text of the cart events; those with k = 13 are cut short, with k = 17 the value is quoted."""
         carts = self._carts().withColumn("timestamp", _iso(F.col("timestamp")))
         body = F.to_json(F.struct(*[c for c in carts.columns if c != "k"]))
+        body = F.when(F.col("k") == 17, F.regexp_replace(body, '"cart_value":([^,]+),', '"cart_value":"$1",')).otherwise(body)
         return carts.select(F.when(F.col("k") == 13, F.concat(F.lit("{"), F.col("event_id")))
                             .otherwise(body).cast("binary").alias("value"))
 
+    def line_messages(self) -> DataFrame:
+        """JSON text of a transaction per order line with that line as its only product."""
+        product = F.struct("product_id", "quantity", F.col("unit_price").alias("price"))
+        return self.order_lines().select(F.to_json(F.struct(
+            "transaction_id", "user_id", _iso(F.col("timestamp")).alias("timestamp"),
+            F.array(product).alias("products"), "total_amount", "payment_method", "country")).alias("value"))
+
     def baskets(self) -> DataFrame:
         """One transaction per order line, holding its product l_linenumber - 1 times.
 

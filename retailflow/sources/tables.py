@@ -69,16 +69,10 @@ def table_path(spark: SparkSession, root: str, name: str) -> str:
     return f"{root}/{name}" if path_exists(spark, f"{root}/{name}") else f"{root}/{name}.parquet"
 
 
-def parquet_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(table_path(spark, root, name))
-
-
 def query(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame],
           args: Mapping[str, object] | None = None) -> DataFrame:
-    """Run SQL over named DataFrames; ``args`` fill ``:name`` markers."""
-    for name, df in tables.items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(sql, args=dict(args or {}))
+    """Run SQL over DataFrames, which it names as ``{name}``; ``args`` fill ``:name`` markers."""
+    return spark.sql(sql, args=dict(args or {}), **tables)
 
 
 def product_catalog(spark: SparkSession, path: str) -> DataFrame:

@@ -25,6 +25,8 @@ class Job:
     clock: tuple[str, ...] = ("created_at",)
     every: str | None = None
     alerts: bool = False
+    #: Whether the job keeps each event of its topic; undecodable text goes to its quarantine.
+    raw: bool = False
 
 
 def _lines(op: Callable[..., DataFrame], cfg: Realtime) -> Callable[[DataFrame], DataFrame]:
@@ -36,9 +38,9 @@ def jobs(cfg: Realtime = REALTIME) -> dict[str, Job]:
     found, alert = ("detected_at", "created_at"), ("alert_generated_at", "created_at")
     tx, views, carts = "transactions", "product_views", "cart_events"
     table = [
-        Job("transactions", tx, ingest.line_items, None, every="10 seconds"),
-        Job("product_view_events", views, ingest.view_events, None, every="10 seconds"),
-        Job("cart_events", carts, ingest.cart_events, None, every="10 seconds"),
+        Job("transactions", tx, ingest.line_items, None, every="10 seconds", raw=True),
+        Job("product_view_events", views, ingest.view_events, None, every="10 seconds", raw=True),
+        Job("cart_events", carts, ingest.cart_events, None, every="10 seconds", raw=True),
         Job("sales_per_minute", tx, lambda d: windows.sales_per_window(d, cfg), cfg.sales.lateness),
         Job("sales_by_country", tx, lambda d: windows.sales_by_country(d, cfg), cfg.sales.lateness),
         Job("cart_sessions", carts, lambda d: windows.cart_sessions(d, cfg), cfg.cart_sessions.lateness),
@@ -69,29 +71,47 @@ def jobs(cfg: Realtime = REALTIME) -> dict[str, Job]:
 
 def output(messages: DataFrame, job: Job) -> DataFrame:
     """Messages of the job's topic to its output rows, event time declared once."""
-    events = ingest.readable(ingest.decode(messages, schemas.TOPICS[job.topic]))
+    return built(ingest.decode(messages, schemas.TOPICS[job.topic]), job)
+
+
+def built(decoded: DataFrame, job: Job) -> DataFrame:
+    """Output rows of decoded events."""
+    events = ingest.events_of(job.topic, decoded)
     if job.lateness:
         events = with_event_time(events, "timestamp", job.lateness)
     return ingest.stamped(job.build(events), *job.clock)
 
 
+#: Makes the writer of a table from its name.
+TableWriter = Callable[[str], sinks.BatchWriter]
+
+
 def run(spark: SparkSession, source: Callable[[str], DataFrame], root: str,
         tables: list[str] | None = None, cfg: Realtime = REALTIME, available_now: bool = False,
-        alert_writer: sinks.BatchWriter | None = None) -> dict[str, StreamingQuery]:
+        alert_writer: sinks.BatchWriter | None = None,
+        table_writer: TableWriter | None = None) -> dict[str, StreamingQuery]:
     """Start the selected jobs in one session; Spark runs each as its own query.
 
     ``source(topic)`` gives the message stream, ``root`` holds tables and checkpoints.
+    ``table_writer(name)`` chooses another sink, such as ``sinks.jdbc_batches`` of a database
+    or ``sinks.console_batches``. The job of a raw table also writes the text it can't decode,
+    in the same micro-batch, so its table and quarantine together hold the whole topic.
     """
     chosen = jobs(cfg)
+    to_table = table_writer or (lambda table: sinks.parquet_batches(f"{root}/tables/{table}"))
     started = {}
     for name in tables or list(chosen):
         job = chosen[name]
-        write = sinks.parquet_batches(f"{root}/tables/{name}")
-        if job.alerts:
-            alerts = alert_writer or sinks.file_alerts(f"{root}/tables/alerts/{name}")
-            writer = sinks.with_alerts(write, alerts)
+        if job.raw:
+            stream = ingest.decode(source(job.topic), schemas.TOPICS[job.topic])
+            writer = sinks.each_batch(
+                sinks.transformed(lambda df, job=job: built(df, job), to_table(name)),
+                sinks.transformed(ingest.corrupt, sinks.parquet_batches(f"{root}/quarantine/{name}")))
+        elif job.alerts:
+            stream = output(source(job.topic), job)
+            writer = sinks.with_alerts(to_table(name), alert_writer or sinks.file_alerts(f"{root}/tables/alerts/{name}"))
         else:
-            writer = sinks.each_batch(write)
-        started[name] = sinks.start(output(source(job.topic), job), writer, f"{root}/checkpoints/{name}",
+            stream, writer = output(source(job.topic), job), sinks.each_batch(to_table(name))
+        started[name] = sinks.start(stream, writer, f"{root}/checkpoints/{name}",
                                     name=name, every=job.every, available_now=available_now)
     return started

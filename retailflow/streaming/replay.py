@@ -7,14 +7,17 @@ from uuid import uuid4
 from pyspark.sql import DataFrame
 
 from retailflow.session import shared_folder
-from retailflow.sources.tables import path_exists
+from retailflow.sources.tables import matching_paths, path_exists
 from retailflow.streaming import sinks
 
 
 def replay(stream: DataFrame, output_mode: str = "append", folder: str | None = None) -> DataFrame:
     """Run ``stream`` with the batch sink until its input is used up; return the emitted rows.
 
-    A stream that emits nothing gives an empty frame of its schema.
+    In append mode these are the windows that the watermark has closed, as a continuous job emits
+    them. Complete mode emits all groups with each batch; the newest batch then holds those
+    of the whole input, open windows included. A stream that emits nothing gives an empty frame
+    of its schema.
     """
     spark = stream.sparkSession
     folder = folder or f"{shared_folder(spark)}/replay-{uuid4().hex}"
@@ -22,4 +25,7 @@ def replay(stream: DataFrame, output_mode: str = "append", folder: str | None =
     sinks.start(stream, writer, f"{folder}/checkpoint", output_mode=output_mode, available_now=True).awaitTermination()
     if not path_exists(spark, f"{folder}/rows"):
         return spark.createDataFrame([], stream.schema)
-    return spark.read.schema(stream.schema).parquet(f"{folder}/rows/batch_id=*")
+    batches = matching_paths(spark, f"{folder}/rows/batch_id=*")
+    if output_mode == "complete":
+        batches = [max(batches, key=lambda p: int(p.rsplit("=", 1)[1]))]
+    return spark.read.schema(stream.schema).parquet(*batches)

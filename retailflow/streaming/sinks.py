@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from retailflow.operators.anomalies import alert_messages, critical_alerts
+from retailflow.operators.ingest import stamped
 from retailflow.sources.tables import Jdbc, matching_paths, path_exists
 
 BatchWriter = Callable[[DataFrame, int], None]
@@ -24,6 +25,23 @@ def parquet_batches(path: str) -> BatchWriter:
     return write
 
 
+def console_batches(rows: int = 20) -> BatchWriter:
+    """Print the first rows of each micro-batch."""
+    def write(df: DataFrame, batch_id: int) -> None:
+        print(f"batch {batch_id}")
+        df.show(rows, truncate=False)
+    return write
+
+
+def transformed(change: Callable[[DataFrame], DataFrame], write: BatchWriter) -> BatchWriter:
+    """Write what ``change`` makes of a batch; nothing if that is empty."""
+    def process(df: DataFrame, batch_id: int) -> None:
+        changed = change(df)
+        if not changed.isEmpty():
+            write(changed, batch_id)
+    return process
+
+
 def jdbc_batches(db: Jdbc, table: str) -> BatchWriter:
     """Append to a database table with the batch id as a column, which a key there can deduplicate on."""
     def write(df: DataFrame, batch_id: int) -> None:
@@ -60,7 +78,7 @@ def each_batch(*writers: BatchWriter) -> BatchWriter:
 
 def with_alerts(table: BatchWriter, alerts: BatchWriter) -> BatchWriter:
     """Store the anomalies and publish their critical rows in the same micro-batch."""
-    return each_batch(table, lambda df, batch_id: alerts(critical_alerts(df), batch_id))
+    return each_batch(table, lambda df, batch_id: alerts(stamped(critical_alerts(df), "created_at"), batch_id))
 
 
 def start(df: DataFrame, writer: BatchWriter, checkpoint: str, name: str | None = None,
@@ -94,8 +112,9 @@ def write_jdbc(df: DataFrame, db: Jdbc, table: str, mode: str = "append") -> Non
     df.write.format("jdbc").options(**db.options(table=table)).mode(mode).save()
 
 
-def append(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
+def append(df: DataFrame, path: str, partition_by: str | None = None) -> None:
+    writer = df.write.mode("append")
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
 
 
 def replace_all(df: DataFrame, path: str) -> None:

@@ -24,6 +24,16 @@ def test_decode_keeps_bad_json_apart(spark, rows):
     assert rows(ingest.corrupt(decoded)) == [('{"event_id": "d"',)]
 
 
+def test_decode_keeps_events_with_a_mistyped_field(spark, rows):
+    decoded = ingest.decode(messages(
+        spark, {"transaction_id": "a", "total_amount": "12.5", "country": "UK"},
+        {"transaction_id": "b", "products": [{"product_id": "p", "quantity": 1.5, "price": 2.0}]},
+        "nonsense", {"transaction_id": "c", "total_amount": 1.0}), schemas.TRANSACTION)
+    assert rows(ingest.readable(decoded), "transaction_id", "total_amount", "country") == [
+        ("a", None, "UK"), ("b", None, None), ("c", 1.0, None)]
+    assert rows(ingest.corrupt(decoded)) == [("nonsense",)]
+
+
 def test_decode_reads_boolean_into_text_field(spark, rows):
     decoded = ingest.decode(messages(spark, {"event_id": "a", "from_search": True}), schemas.PRODUCT_VIEW)
     assert rows(decoded, "from_search") == [("true",)]

@@ -85,6 +85,29 @@ def test_every_job_equals_its_batch_result(spark, topics, rows):
     assert alerts.count() == 61 and body["severity"] == "critical" and body["metadata"]["country"] == "UK"
 
 
+def test_raw_tables_and_quarantine_hold_every_message(spark, tmp_path):
+    write(tmp_path / "cart_events", "1", [cart(i, i) for i in range(5)])
+    with open(tmp_path / "cart_events" / "2.json", "w") as f:
+        f.write('{"event_id": "cut\n{"event_id": "x", "event_type": "checkout", "total_value": 99.0, "quantity": "two"}\n')
+        f.write('{"event_id": "y", "event_type": "update_quantity", "new_quantity": 3}\n')
+    jobs.run(spark, text_source(spark, tmp_path), str(tmp_path / "out"), ["cart_events"],
+             available_now=True)["cart_events"].awaitTermination()
+    table = spark.read.parquet(str(tmp_path / "out/tables/cart_events"))
+    found = {r.event_id: (r.quantity, r.cart_value) for r in table.collect()}
+    assert table.count() == 7 and found["x"] == (None, 99.0) and found["y"] == (3, None)
+    assert spark.read.parquet(str(tmp_path / "out/quarantine/cart_events")).first().value == '{"event_id": "cut'
+
+
+def test_a_job_writes_to_the_sink_it_is_given(spark, tmp_path):
+    write(tmp_path / "transactions", "1", [transaction(i, i) for i in range(4)])
+    seen = {}
+    for query in jobs.run(spark, text_source(spark, tmp_path), str(tmp_path / "out"), ["transactions", "high_value_anomalies"],
+                          available_now=True, alert_writer=lambda df, n: seen.update(alerts=df.columns),
+                          table_writer=lambda name: lambda df, n: seen.update({name: df.count()})).values():
+        query.awaitTermination()
+    assert seen["transactions"] == 4 and seen["high_value_anomalies"] == 4 and "created_at" in seen["alerts"]
+
+
 def sales_stream(spark, folder):
     tx = ingest.readable(ingest.decode(text_source(spark, folder.parent)(folder.name), schemas.TRANSACTION))
     return windows.sales_by_country(with_event_time(tx, "timestamp", "1 minute"))

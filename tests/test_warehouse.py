@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from retailflow.config import GEOGRAPHY_ROWS
-from retailflow.operators import dimensions, facts
+from retailflow.operators import dimensions, facts, serving
 from retailflow.plans import warehouse
 from retailflow.sources import tables
 from retailflow.streaming import sinks
@@ -170,6 +170,39 @@ def test_run_batch_twice(spark, tmp_path, rows):
     assert sinks.read_version(spark, f"{root}/dim_customers").count() == 2
 
 
+def test_batch_runs_in_different_months(spark, tmp_path, rows):
+    root = str(tmp_path)
+    sales = sale_lines(spark, ("u1", "p1", "UK", dt.datetime(2023, 12, 31, 23)), ("u2", "p1", "UK", dt.datetime(2024, 1, 5)),
+                       ("u1", "p1", "UK", dt.datetime(2025, 2, 3)))
+    views = spark.createDataFrame([], "event_id string, user_id string, product_id string, event_timestamp timestamp, country string, "
+                                  "session_id string, event_type string, view_duration int, search_query string")
+    carts = spark.createDataFrame([], "event_id string, user_id string, product_id string, event_timestamp timestamp, country string, "
+                                  "session_id string, event_type string, quantity int, cart_value double")
+    catalog = spark.createDataFrame([("p1", "shoe", "c1", 2.0)], "product_id string, name string, category string, price double")
+
+    def run(day, **options):
+        return warehouse.run_batch(spark, root, sales, views, carts, catalog, tables.geography_rows(spark, GEOGRAPHY_ROWS),
+                                   ts(f"{day} 00:00:00"), F.lit(day).cast("date"), **options)["fact_sales"]
+
+    assert run("2024-01-06", today="2024-01-06", days=7) == 3  # from the look-back on, as the batch slice is open upwards
+    assert run("2025-02-03", batch_date="2025-02-03") == 0
+    fact, dates = spark.read.parquet(f"{root}/fact_sales"), spark.read.parquet(f"{root}/dim_date")
+    assert fact.filter("date_id is null").isEmpty()
+    assert dates.count() == dates.select("date_id").distinct().count() == 365 + 366 + 365
+    assert rows(serving.daily_trend(fact, dates), "date", "num_orders") == [
+        (dt.date(2023, 12, 31), 1), (dt.date(2024, 1, 5), 1), (dt.date(2025, 2, 3), 1)]
+    scan = facts.of_dates(fact, [20240105])._jdf.queryExecution().executedPlan().toString()
+    assert "date_id" in scan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_a_failing_dimension_version_is_not_published(spark, tmp_path, rows):
+    path = str(tmp_path / "dim")
+    warehouse.update_dimension(spark, path, customers(spark, ("a", "x", 1.0)), "user_id", "customer_id", ts(T1))
+    with pytest.raises(ValueError, match="repeats"):
+        warehouse.update_dimension(spark, path, customers(spark, ("a", "y", 1.0), ("a", "z", 1.0)), "user_id", "customer_id", ts(T2))
+    assert sinks.newest_version(spark, path) == 1 and rows(sinks.read_version(spark, path), "city") == [("x",)]
+
+
 def test_missing_catalog_is_an_error(spark, tmp_path):
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         tables.product_catalog(spark, str(tmp_path / "none.json")).count()

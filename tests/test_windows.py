@@ -1,10 +1,11 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from retailflow.config import Realtime, Windowing
-from retailflow.operators import anomalies, windows
+from retailflow.operators import anomalies, ingest, windows
 
 
 def at(minute, second=0):
@@ -106,6 +107,16 @@ def test_stats_of_nested_equal_union(spark, rows):
     assert rows(anomalies.anomalies_in_place(no_products), "anomaly_type") == [("high_value",)]
 
 
+def test_alerts_of_lines_have_ids_of_their_own(spark):
+    line = Row(product_id="p", quantity=200, price=5.0)
+    tx = spark.createDataFrame(
+        [("t1", "u", dt.datetime(2024, 1, 1), [line, line, Row(product_id="p", quantity=200, price=7.0)], 9.0, "card", "UK")],
+        "transaction_id string, user_id string, timestamp timestamp, products array<struct<product_id:string,quantity:int,price:double>>, "
+        "total_amount double, payment_method string, country string")
+    alerts = anomalies.critical_alerts(anomalies.high_quantity_anomalies(ingest.explode_products(tx)))
+    assert alerts.count() == alerts.select("alert_id").distinct().count() == 3
+
+
 def test_alert_ids_repeat_on_replay(spark, rows):
     tx = transactions(spark, ("u", at(0), 20000.0, "UK"), ("u", at(0), 5000.0, "UK"))
     alerts = anomalies.critical_alerts(anomalies.high_value_anomalies(tx))
