@@ -148,7 +148,9 @@ class TokenReader(DataSourceReader):
                 blocks.append(Block(path, number, start, min(self.block_tokens, size // TOKEN.itemsize - start)))
         return blocks
 
-    def read(self, partition: Block) -> Iterator[tuple]:
+    def read(self, partition: Block | None) -> Iterator[tuple]:
+        if partition is None:  # Spark's stand-in for no partitions
+            return
         system, _ = file_system(self.path)
         with system.open_input_file(partition.path) as f:
             data = f.read_at(partition.tokens * TOKEN.itemsize, partition.start * TOKEN.itemsize)

@@ -199,7 +199,9 @@ class WarcReader(DataSourceReader):
                 return False
         return True
 
-    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Files | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # Spark's stand-in for no partitions
+            return
         system, _ = file_system(self.path)
         rows: list[tuple] = []
         held = 0
