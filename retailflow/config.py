@@ -73,6 +73,10 @@ OPEN_END = "9999-12-31 23:59:59"
 # ------------------------------------------------------------------------------
 
 
+#: fixed value: a pause of so long ends a user's session
+SESSION_TIMEOUT = "30 minutes"
+
+
 @dataclass(frozen=True)
 class Windowing:
     """Width, slide and allowed lateness of one windowed operator."""

@@ -74,6 +74,14 @@ def colliding_keys(dim: DataFrame, surrogate_key: str) -> DataFrame:
     return dim.groupBy(surrogate_key).agg(F.count(F.lit(1)).alias("versions")).filter("versions > 1")
 
 
+def as_of(events: DataFrame, dim: DataFrame, natural: str, ts: str, *attributes: str) -> DataFrame:
+    """``attributes`` of the version that was valid at the time of each event; NULL before the first one."""
+    versions = dim.select(F.col(natural).alias("_key"), "effective_start_date", "effective_end_date", *attributes)
+    valid = (F.col(ts) >= F.col("effective_start_date")) & (F.col(ts) < F.col("effective_end_date"))
+    return (events.join(versions, (F.col(natural) == F.col("_key")) & valid, "left")
+            .drop("_key", "effective_start_date", "effective_end_date"))
+
+
 def first_versions(incoming: DataFrame, now: Column) -> DataFrame:
     return incoming.select(
         "*", now.cast("timestamp").alias("effective_start_date"),

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retailflow.config import REALTIME, Realtime, Windowing
+from retailflow.config import REALTIME, SESSION_TIMEOUT, Realtime, Windowing
 from retailflow.functions.eventtime import duration
 from retailflow.functions.labels import at_least, count_where, distinct_count
 from retailflow.functions.money import line_total, money_avg, money_sum
@@ -121,6 +121,14 @@ def search_behavior(views: DataFrame, cfg: Realtime = REALTIME, exact: bool = Fa
         F.avg("results_count").alias("avg_results")).filter(F.col("search_count") >= cfg.search_min_count)
 
 
+def activity_sessions(events: DataFrame, gap: str = SESSION_TIMEOUT) -> DataFrame:
+    """Sessions of a user, ended by a pause of ``gap``; the end is the last event plus the pause."""
+    return (events.groupBy(F.session_window("timestamp", gap).alias("s"), "user_id")
+            .agg(F.count(F.lit(1)).alias("events"), F.max("timestamp").alias("last_event"))
+            .select("user_id", F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"),
+                    "events", "last_event"))
+
+
 def browsing_sessions(views: DataFrame, cfg: Realtime = REALTIME, exact: bool = False) -> DataFrame:
     sessions = windowed(
         views, cfg.browsing, ["user_id", "session_id", "country"],

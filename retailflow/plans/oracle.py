@@ -354,6 +354,11 @@ BODIES: dict[str, str] = {
       min("timestamp") as first_activity, max("timestamp") as last_activity, count(*) as total_events,
       (floor(epoch(max("timestamp"))) - floor(epoch(min("timestamp"))))::bigint as session_duration_sec""",
                               "fx_views"),
+    "activity_sessions": """with gaps as (select *, "timestamp" - lag("timestamp") over u > interval '12 hours' as fresh
+        from fx_views window u as (partition by user_id order by "timestamp")),
+      islands as (select *, count(*) filter (fresh) over (partition by user_id order by "timestamp") as n from gaps)
+      select user_id, min("timestamp") as session_start, max("timestamp") + interval '12 hours' as session_end,
+        count(*) as events, max("timestamp") as last_event from islands group by user_id, n""",
     "high_value_anomalies": "select * from t_high_value",
     "high_quantity_anomalies": "select * from t_high_quantity",
     "suspicious_patterns": f"""select *, 'suspicious_pattern' as anomaly_type,
@@ -422,6 +427,9 @@ BODIES: dict[str, str] = {
       from d_before""",
     "scd2_new": "select * from d_incoming n where not exists (select 1 from d_before o where o.user_id = n.user_id)",
     "scd2_changed": f"select {_NCOLS} from d_incoming n join d_before o on o.user_id = n.user_id where {_DIFF}",
+    "scd2_as_of": """select transaction_id, t.user_id, "timestamp", customer_segment, total_transactions
+      from fx_tx t left join d_history h on h.user_id = t.user_id and "timestamp" >= effective_start_date
+        and "timestamp" < effective_end_date""",
     "scd2_merge": "select * from d_history",
     "fact_sales": _RESOLVED_SALES,
     "fact_sales_batch_date": _RESOLVED_SALES + " where s.transaction_timestamp::date = date '1998-10-03'",

@@ -278,6 +278,7 @@ QUERIES: dict[str, Callable[[Workload], DataFrame]] = {
     "category_performance": lambda w: w.categories,
     "search_behavior": lambda w: windows.search_behavior(w.views, REALTIME, exact=True),
     "browsing_sessions": lambda w: windows.browsing_sessions(w.views, REALTIME, exact=True),
+    "activity_sessions": lambda w: windows.activity_sessions(w.views, "12 hours"),
     "high_value_anomalies": lambda w: w.high_value,
     "high_quantity_anomalies": lambda w: w.high_quantity,
     "suspicious_patterns": lambda w: anomalies.suspicious_patterns(w.transactions, REALTIME),
@@ -320,6 +321,9 @@ QUERIES: dict[str, Callable[[Workload], DataFrame]] = {
     "scd2_new": lambda w: _scd2_columns(dimensions.new_keys(w.customer_snapshot, w.customers_all, "user_id")),
     "scd2_changed": lambda w: _scd2_columns(dimensions.changed_rows(
         w.customer_snapshot, w.customers_all, "user_id", ignore=("rfm_score",))),
+    "scd2_as_of": lambda w: dimensions.as_of(
+        w.transactions.select("transaction_id", "user_id", "timestamp"), w.customer_history, "user_id", "timestamp",
+        "customer_segment", "total_transactions"),
     "scd2_merge": lambda w: _scd2_columns(w.customer_history),
     # facts
     "fact_sales": lambda w: w.resolved(w.fact_sales),

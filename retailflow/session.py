@@ -7,9 +7,12 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Settings a running session accepts; applied to any session handed to the library.
+#: What results depend on: days and windows are cut in UTC.
+RESULT_CONF = {"spark.sql.session.timeZone": "UTC"}
+
+#: Settings of the sessions that the library builds.
 RUNTIME_CONF = {
-    "spark.sql.session.timeZone": "UTC",
+    **RESULT_CONF,
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -35,12 +38,15 @@ def build_session(app_name: str = "retailflow", master: str | None = None,
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for key, value in {**RUNTIME_CONF, **conf}.items():
         builder = builder.config(key, value)
-    return configure(builder.getOrCreate())
+    spark = builder.getOrCreate()
+    for key, value in RUNTIME_CONF.items():
+        spark.conf.set(key, value)
+    return spark
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to a session that somebody else created."""
-    for key, value in RUNTIME_CONF.items():
+    """Set what results depend on in a session that somebody else created; leave its other settings."""
+    for key, value in RESULT_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
     return spark
