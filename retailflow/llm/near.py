@@ -6,12 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from retailflow.llm import bloom
-from retailflow.llm.common import columns, salts, whole_text, without, written
+from retailflow.llm.common import columns, salted_totals, salts, whole_text, without, written
 from retailflow.llm.pieces import blocks_of
 
 #: Words of a shingle and the similarity from which texts are linked.
@@ -19,8 +19,10 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 #: A pair of similarity 0.8 shares none of 32 bands of 6 coordinates with probability 6e-5.
 BANDS, ROWS = 32, 6
-#: Buckets of at most so many open texts are compared pair by pair.
-SMALL_BUCKET = 12
+#: Texts of a bucket that are compared with the rest of it in one round.
+LEADS = 64
+#: Cells over which a bucket's texts are spread before they are counted.
+SALTS = 64
 
 _U = np.uint64
 _GOLDEN = _U(0x9E3779B97F4A7C15)
@@ -85,7 +87,7 @@ def elements(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     shingle = np.zeros(len(words), np.uint64)
     for i in range(SHINGLE_WORDS):
         part = np.zeros(len(words), np.uint64)
-        part[:len(words) - i] = words[i:] if i else words
+        part[:max(0, len(words) - i)] = words[i:]
         shingle = np.where(i < left, mix(shingle + part + _U(i + 1)), shingle)
     first = (left >= SHINGLE_WORDS) | (place == 0)
     shingle, doc = shingle[first], doc[first]
@@ -205,16 +207,23 @@ def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             .select("a", "b", (F.col("common") / (F.size("ea") + F.size("eb") - F.col("common"))).alias("similarity")))
 
 
+def forest(edges: DataFrame) -> bool:
+    """Whether each node of the edges (a, b) either hangs on one other or has others hanging on it."""
+    ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(
+        edges.select(F.col("b").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    both = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return both.filter((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))).isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) of each node of ``links`` (a, b), the root being a component's smallest node.
+    """(node, root) of each node of the distinct ``links`` (a, b), with one root per component.
 
     Alternates the large-star and small-star steps, which hang every node on the smallest one
-    of its surroundings, until the links stay as they are; a step's links are written to the shared folder. Minima
-    are taken per (node, salt) first, so a node with millions of links is no single task.
+    of its surroundings, until all nodes of a component hang on one. Each step's links are written to the
+    shared folder. Minima are taken per (node, salt) first, so a node with millions of links is
+    no single task.
     """
-    spread = salts(links.count())
-
-    def star(edges: DataFrame, small: bool) -> DataFrame:
+    def star(edges: DataFrame, small: bool, spread: int) -> DataFrame:
         """Hang each node's neighbours (the greater ones, or the smaller ones and itself) on their least."""
         if small:
             around = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
@@ -234,51 +243,85 @@ def components(links: DataFrame) -> DataFrame:
             out = joined.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         return out.filter("a != b").distinct()
 
-    edges, before = written(links.select("a", "b").filter("a != b"), "links"), None
-    while True:
-        edges = written(star(star(edges, False), True), "links")
-        state = edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).collect()[0]
-        if state == before:
-            break
-        before = state
+    edges = links
+    while not forest(edges):
+        spread = salts(edges.count())
+        edges = written(star(star(edges, False, spread), True, spread), "links")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(
         edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def bucket_links(members: DataFrame, docs: DataFrame, similarity: float = SIMILARITY,
-                 small_bucket: int = SMALL_BUCKET) -> DataFrame:
-    """Verified links (a, b, similarity) between texts that share a bucket; ``members`` is (bucket, key).
+def shared_buckets(texts: DataFrame) -> DataFrame:
+    """(bucket, key, lead, n) of the buckets that at least two texts share, from (key, bands); written.
 
-    In a bucket of few open texts all pairs are compared. In a larger one each text is compared
-    with the bucket's least key; those linked to it are settled, the others stay open and meet again
-    under the least of them, until no bucket has two open texts. So a group of thousands of
-    near copies costs one comparison a text, and nothing is cut off.
+    A bucket's lead is its most central text, that with the largest buckets on the whole, and ``n``
+    its size. Buckets that surely hold one text are left out by a Bloom filter before anything shuffles.
+    """
+    members = texts.select(F.explode("bands").alias("bucket"), "key")
+    bits = bloom.build(members.select("bucket"), "bucket", texts.count() * BANDS, times=2)
+    members = members.filter(bloom.test(members.sparkSession, F.col("bucket"), bits))
+    dealt = members.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)))
+    sized = written(dealt.join(salted_totals(dealt, "bucket", "key", "salt", ("n", F.count(F.lit(1)), F.sum("n"))),
+                               ["bucket", "salt"]).filter("n > 1"), "buckets")
+    weight = sized.groupBy("key").agg(F.sum("n").alias("weight"))
+    central = sized.join(weight, "key")
+    best = salted_totals(central, "bucket", "key", "salt", ("lead", F.max(F.struct("weight", "key")), F.max("lead")))
+    return written(central.join(best, ["bucket", "salt"]).select("bucket", "key", F.col("lead.key").alias("lead"), "n"), "buckets")
+
+
+def bucket_links(texts: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, leads: int = LEADS) -> DataFrame:
+    """(node, root) of the components of all pairs that share a bucket and are similar enough.
+
+    Each text is compared with the lead of its largest bucket, then with the leads of its other
+    buckets that it isn't connected to yet; that settles groups of thousands of near copies at
+    about one comparison a text. Then, in buckets whose texts are not yet all connected, texts outside the
+    largest component are compared with all texts of the bucket that they aren't connected to,
+    ``leads`` of them a round, until none is left. So no pair that could join two components is
+    passed over, and no bucket is expanded into all pairs.
     """
-    open_ = written(members, "open")
-    links = None
+    members = shared_buckets(texts)
+    keys = members.select("key").distinct()
+    wanted = bloom.build(keys.select(key_hash("key").alias("h")), "h", keys.count())
+    sets = written(element_sets(docs, wanted), "elements")
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        return written(similarities(pairs.distinct(), sets).filter(F.col("similarity") >= similarity).select("a", "b"), "found")
+
+    def joined(roots: DataFrame, found: DataFrame) -> DataFrame:
+        """Links between roots that the new links connect, and those of each node to its root."""
+        return roots.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(found).distinct()
+
+    stars = members.filter("key != lead")
+    links = similar(stars.groupBy(F.col("key").alias("a")).agg(F.max(F.struct("n", "lead"))["lead"].alias("b")))
+    roots = components(links)
+    of = roots.select(F.col("node").alias("key"), "root")
+    apart = (stars.select("key", "lead").distinct().join(of, "key", "left")
+             .join(of.select(F.col("key").alias("lead"), F.col("root").alias("lead_root")), "lead", "left")
+             .filter(F.coalesce("root", "key") != F.coalesce("lead_root", "lead")))
+    links = joined(roots, similar(apart.select(F.col("key").alias("a"), F.col("lead").alias("b"))))
+    members, done = members.select("bucket", "key"), None
     while True:
-        n = open_.count()
-        if not n:
-            return links if links is not None else docs.sparkSession.createDataFrame([], "a binary, b binary, similarity double")
-        dealt = open_.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts(n))))
-        cells = dealt.groupBy("bucket", "salt").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("lead"))
-        heads = cells.groupBy(F.col("bucket").alias("of")).agg(F.sum("n").alias("n"), F.min("lead").alias("lead")).filter("n > 1")
-        known = cells.select("bucket", "salt").join(heads, F.col("bucket") == F.col("of")).drop("of")
-        led = written(dealt.join(known, ["bucket", "salt"]).drop("salt"), "led")
-        small = led.filter(F.col("n") <= small_bucket).groupBy("bucket").agg(F.sort_array(F.collect_set("key")).alias("keys"))
-        within = small.select(F.posexplode("keys").alias("i", "a"), "keys").select(
-            "a", F.explode(F.slice("keys", F.col("i") + 2, F.size("keys"))).alias("b"))
-        large = led.filter((F.col("n") > small_bucket) & (F.col("key") != F.col("lead")))
-        pairs = written(within.unionAll(large.select(F.col("lead").alias("a"), F.col("key").alias("b"))).distinct(), "pairs")
-        if pairs.isEmpty():
-            return links if links is not None else docs.sparkSession.createDataFrame([], "a binary, b binary, similarity double")
-        ends = pairs.select(F.col("a").alias("key")).unionAll(pairs.select(F.col("b").alias("key"))).distinct()
-        wanted = bloom.build(ends.select(key_hash("key").alias("h")), "h", ends.count())
-        found = similarities(pairs, element_sets(docs, wanted)).filter(F.col("similarity") >= similarity)
-        found = written(found, "found")
-        links = found if links is None else links.unionAll(found)
-        settled = found.select(F.col("a").alias("lead"), F.col("b").alias("key"))
-        open_ = written(large.join(settled, ["lead", "key"], "left_anti").select("bucket", "key"), "open")
+        roots = components(links)
+        placed = members.join(roots.withColumnRenamed("node", "key"), "key", "left").select(
+            "bucket", "key", F.coalesce("root", "key").alias("root"))
+        parts = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+        mains = (parts.groupBy(F.col("bucket").alias("of"))
+                 .agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "root"))["root"].alias("main")).filter("parts > 1"))
+        members = written(placed.join(mains, F.col("bucket") == F.col("of")).select("bucket", "key", "root", "main"), "open")
+        rest = members.filter("root != main")
+        if done is not None:
+            rest = rest.join(done, ["bucket", "key"], "left_anti")
+        first = Window.partitionBy("bucket").orderBy("key")
+        chosen = written(rest.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= leads)
+                         .select("bucket", "key", "root"), "leads")
+        if chosen.isEmpty():
+            return roots
+        others = members.select("bucket", F.col("key").alias("b"), F.col("root").alias("of_b"))
+        found = similar(chosen.select("bucket", F.col("key").alias("a"), F.col("root").alias("of_a"))
+                        .join(others, "bucket").filter("of_a != of_b").select("a", "b"))
+        done = chosen.select("bucket", "key") if done is None else done.unionAll(chosen.select("bucket", "key"))
+        links = joined(roots, found)
+        members = members.select("bucket", "key")
 
 
 def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY,
@@ -296,9 +339,9 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar
     salted = marks.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts(marks.count()))))
     cells = written(salted.groupBy("key", "salt").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"),
                                                       F.first("bands").alias("bands")), "cells")
-    texts = cells.groupBy("key").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.first("bands").alias("bands"))
-    links = bucket_links(texts.select(F.explode("bands").alias("bucket"), "key"), plain, similarity)
-    roots = components(links)
+    texts = written(cells.groupBy("key").agg(F.sum("n").alias("n"), F.min("least").alias("least"),
+                                             F.first("bands").alias("bands")), "texts")
+    roots = bucket_links(texts.select("key", "bands"), plain, similarity)
     grouped = (texts.select("key", "n", "least").join(roots.withColumnRenamed("node", "key"), "key", "left")
                .withColumn("root", F.coalesce("root", "key")))
     sizes = grouped.groupBy(F.col("root").alias("of")).agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))
