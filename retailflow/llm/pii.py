@@ -251,10 +251,13 @@ def train(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS,
                                                   pa.array([k for _, _, k in found], pa.string())], names=["x", "y", "kind"])
 
     spark = docs.sparkSession
-    texts = docs.select(whole_text(text).alias("t")).filter(F.col("t").rlike("[0-9]{3}|@"))
-    texts = texts.withColumn("h", F.xxhash64("t")).orderBy("h").limit(sample_docs)
+    texts = docs.select(whole_text(text).alias("t")).filter(F.col("t").rlike("[0-9]{3}|@")).withColumn("h", F.xxhash64("t"))
+    # The cut is found among the hashes alone, so no task gathers texts; copies of a text count once.
+    cut = texts.select("h").distinct().orderBy("h").limit(sample_docs).agg(F.max("h").alias("cut")).collect()[0].cut
+    if cut is None:
+        return None
     # A text of unknown length may hold any number of candidates; the bound is on these as well.
-    rows = (texts.select("t").mapInArrow(run, "x array<double>, y double, kind string")
+    rows = (texts.filter(F.col("h") <= cut).dropDuplicates(["h"]).select("t").mapInArrow(run, "x array<double>, y double, kind string")
             .withColumn("h", F.xxhash64("x", "y")).orderBy("h", "kind").limit(sample_candidates).collect())
     if len({r.y for r in rows}) < 2:
         return None
