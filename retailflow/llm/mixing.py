@@ -215,7 +215,8 @@ def _drawn(docs: DataFrame, text: str, doc_id: str, source: str, block_words: in
     pieces = spread.select("doc_id", "row", "size", "number", "block", (begin - F.col("start")).alias("first"),
                            (end - begin).alias("words"))
     times = draw_slots(plan, seed).groupBy("number", "block").agg(F.count(F.lit(1)).alias("times"))
-    return narrow, plan, pieces.join(times, ["number", "block"])
+    # Both sides grow with the documents, so neither is to be broadcast.
+    return narrow, plan, pieces.join(times.hint("merge"), ["number", "block"])
 
 
 def mix_counts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source",
@@ -232,7 +233,7 @@ def mix_counts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sour
         F.sum(F.col("words") * F.col("times")).alias("taken"))
     of_source = F.broadcast(plan.select(F.col("source").alias("__source"), "number", "source_size", "target"))
     return (narrow.join(of_source, F.col("source").eqNullSafe(F.col("__source")))
-            .join(taken, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("row") == F.col("__row"))
+            .join(taken.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("row") == F.col("__row"))
                   & (F.col("number") == F.col("__number")), "left")
             .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken")))
 
