@@ -51,27 +51,26 @@ def write_tokens(docs: DataFrame, folder: str, model_file: str, text: str = "tex
     The files hold nothing but two-byte words. Spark's text writer commits them: a document's last
     byte, the low one of the separator, is its line separator. A null id leaves out the id words.
     """
-    encoded = pieces.encode(docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("text")),
-                            model_file, decoded=False)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pieces.shared_table(model_file, pieces.TABLE_CHUNKS)
+        if table.library.vocab_size() > ID_BASE:
+            raise ValueError(f"token ids must be below {ID_BASE}")
         for batch in batches:
-            ids = batch.column(batch.schema.names.index("ids"))
-            offsets, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
-            names = batch.column(batch.schema.names.index("doc_id"))
-            heads = id_words(pa.compute.fill_null(names, 0).to_numpy(zero_copy_only=False))
-            rows = []
-            for i, known in enumerate(names.is_valid().to_pylist()):
-                own = flat[offsets[i]:offsets[i + 1]]
-                if own[:-1].max(initial=0) >= ID_BASE:
-                    raise ValueError(f"token ids must be below {ID_BASE}")
-                rows.append((heads[i].tobytes() if known else b"") + own.astype(TOKEN).tobytes()[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["value"])
+            known = batch.column(0).is_valid().to_pylist()
+            heads = id_words(pa.compute.fill_null(batch.column(0), 0).to_numpy(zero_copy_only=False))
+            texts = batch.column(1).to_pylist()
+            for start, stop in pieces.blocks_of(texts):
+                ids, offsets, _ = pieces.encode_block(table, texts[start:stop], table.library.eos_id())
+                data, at = ids.astype(TOKEN).tobytes(), offsets * TOKEN.itemsize
+                rows = [(heads[start + i].tobytes() if known[start + i] else b"") + data[at[i]:at[i + 1] - 1]
+                        for i in range(stop - start)]
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["value"])
 
     end = separator(model_file) & 0xFF
     if end >= 0x80:
         raise ValueError("the low byte of the separator must be ASCII")
-    (encoded.mapInArrow(run, "value binary").select(F.col("value").cast("string"))
+    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("text"))
+    (plain.mapInArrow(run, "value binary").select(F.col("value").cast("string"))
      .write.option("lineSep", chr(end)).text(folder))
 
 

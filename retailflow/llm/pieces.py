@@ -17,7 +17,7 @@ from retailflow.llm.common import columns, whole_text, without
 #: Chunks a task's table holds before it starts anew.
 TABLE_CHUNKS = 300_000
 #: Characters of the texts that are put through the table together.
-BLOCK_CHARS = 4 << 20
+BLOCK_CHARS = 2 << 20
 MARK = "▁"
 _CHUNK = re.compile(r" +[^ ]*")
 
@@ -56,7 +56,8 @@ class ChunkTable:
         ids = self.library.encode([c[1:] for c in chunks], num_threads=1)
         # The library adds no marker to an empty text, so the lone marker is cut from a longer one.
         ids = [own if chunk != " " else self.library.encode("\n", num_threads=1)[:1] for chunk, own in zip(chunks, ids)]
-        decoded = [" " + t if c != " " else " " for c, t in zip(chunks, self.library.decode(ids))]
+        # Where a chunk decodes to itself, as nearly all do, its text is kept once.
+        decoded = [c if c == " " or c[1:] == t else " " + t for c, t in zip(chunks, self.library.decode(ids))]
         first = len(self.index)
         self.index.update(zip(chunks, range(first, first + len(chunks))))
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
