@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -57,7 +58,7 @@ def write_tokens(docs: DataFrame, folder: str, model_file: str, text: str = "tex
             raise ValueError(f"token ids must be below {ID_BASE}")
         for batch in batches:
             known = batch.column(0).is_valid().to_pylist()
-            heads = id_words(pa.compute.fill_null(batch.column(0), 0).to_numpy(zero_copy_only=False))
+            heads = id_words(pc.fill_null(batch.column(0), 0).to_numpy(zero_copy_only=False))
             texts = batch.column(1).to_pylist()
             for start, stop in pieces.blocks_of(texts):
                 ids, offsets, _ = pieces.encode_block(table, texts[start:stop], table.library.eos_id())

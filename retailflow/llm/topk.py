@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,10 +114,10 @@ def search(cand_ids: np.ndarray, cand: np.ndarray, query_ids: np.ndarray, query:
 def _cell(k: int):
     def run(table: pa.Table) -> pa.Table:
         def side(flag: bool) -> tuple[np.ndarray, np.ndarray]:
-            part = table.filter(pa.compute.equal(table.column("is_query"), flag)).combine_chunks()
+            part = table.filter(pc.equal(table.column("is_query"), flag)).combine_chunks()
             if not part.num_rows:
                 return np.zeros(0, np.int64), np.zeros((0, table.column("dim")[0].as_py()))
-            flat = pa.compute.list_flatten(part.column("vec")).to_numpy()
+            flat = pc.list_flatten(part.column("vec")).to_numpy()
             return part.column("vec_id").to_numpy(), flat.reshape(part.num_rows, -1)
 
         (query_ids, query), (cand_ids, cand) = side(True), side(False)

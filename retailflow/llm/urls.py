@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,7 +86,7 @@ def judge(pages: DataFrame, rules: DataFrame | None = None, url: str = "url", ot
     @F.arrow_udf("array<boolean>")
     def possible(hashes: pa.Array) -> pa.Array:
         flat = bloom.contains(shared.value, hashes.flatten().to_numpy(zero_copy_only=False))
-        sizes = pa.compute.fill_null(pa.compute.list_value_length(hashes), 0).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.list_value_length(hashes), 0).to_numpy(zero_copy_only=False)
         offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
