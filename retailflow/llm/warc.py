@@ -67,14 +67,15 @@ def mark_revisits(pages: DataFrame, page_id: str = "page_id", html: str = "html"
 
 
 def write_warc(marked: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html",
-               records_per_file: int = 20_000) -> None:
+               records_per_file: int = 20_000, compression: str = "gzip") -> None:
     """Write one record per row of :func:`mark_revisits` below ``folder``.
 
     A record is one row of Spark's text writer with the end of a WARC record as line separator,
     so a lost task's files are never seen. A response holds the HTML in UTF-8, a revisit an empty
     block, its page's digest and the id of the record it refers to. Header values lose line
     breaks; a null URL leaves its header out. ``WARC-Page-Length`` keeps the payload's bytes,
-    which a revisit doesn't hold.
+    which a revisit doesn't hold. Files are compressed as a whole unless ``compression`` is ``none``, with
+    which payloads that aren't wanted need not even be read.
     """
     def header(name: str, value) -> Column:
         return F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
@@ -97,7 +98,7 @@ def write_warc(marked: DataFrame, folder: str, page_id: str = "page_id", url: st
         F.lit("Content-Type: text/html; charset=utf-8\r\n"),
         header("Content-Length", F.octet_length(body).cast("string")),
         F.lit("\r\n"), body)
-    (marked.select(line.alias("value")).write.option("lineSep", END)
+    (marked.select(line.alias("value")).write.option("lineSep", END).option("compression", compression)
      .option("maxRecordsPerFile", records_per_file).text(folder))
 
 
