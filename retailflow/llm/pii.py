@@ -6,6 +6,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ SAMPLE_DOCS, SAMPLE_CANDIDATES = 4000, 8000
 PRECISION, SUPPORT = 0.99, 10
 TREES, DEPTH = 20, 3
 CONTEXT = 24
+#: Candidates of a text whose features are held at once.
+JUDGED = 4096
 
 Span = tuple[int, int]
 
@@ -103,23 +106,74 @@ _LOOSE_EMAIL = re.compile(
     r"(?:\s?(?:\.|\(dot\)|\[dot\]|\{dot\}|\bdot\b)\s?[A-Za-z0-9-]{1,63}){1,6}", re.I)
 _LOOSE_EMAIL_SIGN = re.compile(r"@|[(\[{]at[)\]}]|\bdot\b", re.I)
 _LOOSE_IP = re.compile(r"(?<![0-9])[0-9]{1,3}(?:\s?(?:\.|\[\.\]|\(\.\)|,)\s?[0-9]{1,3}){3}(?![0-9])")
-_LOOSE_NUMBER = re.compile(r"\+?\(?[0-9](?:[\x20().\-/_·]{0,2}[0-9]){6,29}")
-
-
-def candidates(text: str, base: dict[str, list[Span]]) -> list[tuple[str, int, int]]:
+#: What may stand between two digit groups of one number.
+_JOINT = re.compile(r"[\x20().\-/_·]{1,2}")
+#: Digits of a phone number and of a card.
+PHONE_DIGITS, CARD_DIGITS = range(7, 16), range(13, 20)
+
+
+def luhn_windows(digits: str) -> Iterator[Span]:
+    """Parts of an unbroken run with as many digits as a card that pass Luhn, but not the whole run."""
+    n = len(digits)
+    if n <= CARD_DIGITS[0]:
+        return
+    # For either parity of the last digit, sums up to each place with every second digit doubled.
+    sums = [[0], [0]]
+    for i, d in enumerate(digits):
+        v = ord(d) - 48
+        for parity in (0, 1):
+            sums[parity].append(sums[parity][-1] + (v if i % 2 == parity else v * 2 - 9 if v > 4 else v * 2))
+    for start in range(n - CARD_DIGITS[0] + 1):
+        for end in range(start + CARD_DIGITS[0], min(start + CARD_DIGITS[-1], n) + 1):
+            total = sums[(end - 1) % 2]
+            if (total[end] - total[start]) % 10 == 0 and end - start < n:
+                yield start, end
+
+
+def numbers(text: str) -> Iterator[tuple[str, int, int]]:
+    """Card and phone candidates: from each digit group on, every row of whole groups with as many digits,
+    and the Luhn windows of long groups; a group starts at most 13 rows, so they are linear in the text.
+    """
+    row: list[Span] = []
+
+    def ended() -> Iterator[tuple[str, int, int]]:
+        """Rows that start with the first group."""
+        start, digits = row[0][0], 0
+        start -= start > 0 and text[start - 1] == "("
+        start -= start > 0 and text[start - 1] == "+"
+        for a, b in row:
+            digits += b - a
+            if digits in CARD_DIGITS:
+                yield "card", start, b
+            if digits in PHONE_DIGITS:
+                yield "phone", start, b
+            if digits >= CARD_DIGITS[-1]:
+                break
+
+    held = 0
+    for m in _NUMBER.finditer(text):
+        a, b = m.span()
+        while row and (held >= CARD_DIGITS[-1] or not _JOINT.fullmatch(text, row[-1][1], a)):
+            yield from ended()
+            first = row.pop(0)
+            held -= first[1] - first[0]
+        row.append((a, b))
+        held += b - a
+        yield from (("card", a + i, a + j) for i, j in luhn_windows(m.group()))
+    while row:
+        yield from ended()
+        row.pop(0)
+
+
+def candidates(text: str, base: dict[str, list[Span]]) -> Iterator[tuple[str, int, int]]:
     """Spans that may be personal data, many of them overlapping; base spans come first."""
-    found = dict.fromkeys((kind, *span) for kind in KINDS for span in base[kind])
+    known = {(kind, *span) for kind in KINDS for span in base[kind]}
+    yield from ((kind, *span) for kind in KINDS for span in base[kind])
     if _LOOSE_EMAIL_SIGN.search(text):
-        found.update(dict.fromkeys(("email", *m.span()) for m in _LOOSE_EMAIL.finditer(text)))
+        yield from (c for m in _LOOSE_EMAIL.finditer(text) if (c := ("email", *m.span())) not in known)
     if _DIGIT.search(text):
-        found.update(dict.fromkeys(("ip", *m.span()) for m in _LOOSE_IP.finditer(text)))
-        for m in _LOOSE_NUMBER.finditer(text):
-            n = len(digits_of(m.group()))
-            if 13 <= n <= 19:
-                found["card", *m.span()] = None
-            if 7 <= n <= 15:
-                found["phone", *m.span()] = None
-    return list(found)
+        yield from (c for m in _LOOSE_IP.finditer(text) if (c := ("ip", *m.span())) not in known)
+        yield from (c for c in numbers(text) if c not in known)
 
 
 # --- features ----------------------------------------------------------------------------------
@@ -131,7 +185,10 @@ _NOISE = ("version", "token", "license", "sha", "hash", "key", "id", "isbn", "or
 FEATURES = ("kind_email", "kind_ip", "kind_card", "kind_phone", "length", "digits", "groups", "longest_group",
             "first_group", "last_group", "luhn", "octets", "plus", "brackets", "dashes", "dots", "spaces", "at_sign",
             "at_word", "letters", "distinct_digits", "before_alnum", "after_alnum", "before_digit_sign", "hint", "noise",
-            "context_digits", "word_ends_short")
+            "context_digits", "word_ends_short", "joined_before", "joined_after", "four_groups", "longest_joint")
+
+
+_JOINED_BEFORE, _JOINED_AFTER = re.compile(r"[0-9][\x20().\-/_·]{0,2}\Z"), re.compile(r"[\x20().\-/_·]{0,2}[0-9]")
 
 
 def features(text: str, kind: str, start: int, end: int) -> list[float]:
@@ -151,19 +208,40 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
             float(min(sum(c.isalpha() for c in span), 60)), float(len(set(digits))), float(last.isalnum()),
             float(first.isalnum()), float(last != "" and last in ".-+/=#$"), float(any(h in around for h in _HINTS[kind])),
             float(any(h in around for h in _NOISE)), float(sum(c.isdigit() for c in before + after)),
-            float(len(re.split(r"[.\s]", span)[-1]) <= 4)]
+            float(len(re.split(r"[.\s]", span)[-1]) <= 4), float(bool(_JOINED_BEFORE.search(before))),
+            float(bool(_JOINED_AFTER.match(after))), float(len(groups) > 1 and all(len(g) == 4 for g in groups)),
+            float(min(max(map(len, _NUMBER.split(span)[1:-1]), default=0), 9))]
 
 
 #: Ways in which base spans are also written, shown to the trees as examples of their kind.
 _VARIANTS = {"email": (("@", " at "), ("@", "(at)"), ("@", "[at]")), "ip": ((".", "[.]"),),
              "card": (), "phone": (("+", ""), ("+", "00"))}
+#: Numbers that stand next to a card or a phone number, before and behind it.
+_NEIGHBOURS = {"card": (("", " 12/27"), ("", "/123"), ("2024-05-01 ", ""), ("", " {}")),
+               "phone": (("", " 2024-05-01"), ("", "/12"), ("17 ", ""), ("", " {}"))}
+
+
+def beside(head: str, span: str, tail: str, kind: str) -> Iterator[tuple[list[float], float, str]]:
+    """Examples of a card or phone number with another number next to it: the span itself is of its kind, other
+    candidates that overlap it are none."""
+    for before, behind in _NEIGHBOURS[kind]:
+        before, behind = before.format(span), behind.format(span)
+        text, start = head + before + span + behind + tail, len(head) + len(before)
+        end = start + len(span)
+        yield features(text, kind, start, end), 1.0, kind
+        for other, a, b in numbers(text):
+            if a < end and b > start and (a, b) != (start, end):
+                # The number beside it may be the same one again.
+                if other != kind or text[a:b] != span:
+                    yield features(text, other, a, b), 0.0, other
 
 
 def examples(text: str, base: dict[str, list[Span]]) -> Iterator[tuple[list[float], float, str]]:
     """(features, label, kind) of a text's candidates: base spans are of their kind, others are not.
 
     Each base span is also shown rewritten in the ways of ``_VARIANTS``, and spoiled: a card or address with
-    digits that fail its test, a phone number run together with letters.
+    digits that fail its test, a phone number run together with letters. Cards and phone numbers also stand
+    beside other numbers.
     """
     known = {(kind, *span) for kind in KINDS for span in base[kind]}
     for kind, start, end in candidates(text, base):
@@ -176,6 +254,14 @@ def examples(text: str, base: dict[str, list[Span]]) -> Iterator[tuple[list[floa
             for old, new in _VARIANTS[kind]:
                 other = span.replace(old, new, 1 if kind != "ip" else -1)
                 yield features(head + other + tail, kind, len(head), len(head) + len(other)), 1.0, kind
+            if kind in _NEIGHBOURS:
+                yield from beside(head, span, tail, kind)
+            if kind == "card":
+                # The same card in fours, or unbroken.
+                joint = "" if "-" in span or " " in span else " -"[len(text) % 2]
+                other = joint.join(re.findall("[0-9]{1,4}", digits_of(span)))
+                yield features(head + other + tail, kind, len(head), len(head) + len(other)), 1.0, kind
+                yield from beside(head, other, tail, kind)
             if kind == "card":
                 other = span[:-1] + str((int(span[-1]) + 5) % 10)
             elif kind == "ip":
@@ -245,10 +331,11 @@ def train(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for value in batch.column(0).to_pylist():
-                found = list(examples(value, base_spans(value)))
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _, _ in found], pa.list_(pa.float64())),
-                                                  pa.array([y for _, y, _ in found], pa.float64()),
-                                                  pa.array([k for _, _, k in found], pa.string())], names=["x", "y", "kind"])
+                shown = examples(value, base_spans(value))
+                while found := list(islice(shown, JUDGED)):
+                    yield pa.RecordBatch.from_arrays([pa.array([x for x, _, _ in found], pa.list_(pa.float64())),
+                                                      pa.array([y for _, y, _ in found], pa.float64()),
+                                                      pa.array([k for _, _, k in found], pa.string())], names=["x", "y", "kind"])
 
     spark = docs.sparkSession
     texts = docs.select(whole_text(text).alias("t")).filter(F.col("t").rlike("[0-9]{3}|@")).withColumn("h", F.xxhash64("t"))
@@ -289,13 +376,13 @@ def select(text: str, trees: Trees | None) -> list[tuple[str, int, int, bool, fl
     """(kind, start, end, whether base, probability) of the spans to redact, by kind and start.
 
     Base spans all stay. Of other candidates at or above their kind's threshold those that touch no base
-    span are taken by falling probability, then start, while they don't overlap one taken before.
+    span are taken by falling probability, then start, then length, while they don't overlap one taken before.
+    Candidates are judged a block at a time, so a text may hold any number of them.
     """
     base = base_spans(text)
     fixed = [(kind, *span) for kind in KINDS for span in base[kind]]
     chosen = [(*span, True, 1.0) for span in fixed]
-    others = candidates(text, base)[len(fixed):] if trees else []
-    if others:
+    if trees:
         taken = sorted((s, e) for _, s, e in fixed)
         starts = np.array([s for s, _ in taken])
         reach = np.maximum.accumulate([e for _, e in taken]) if taken else np.zeros(0, int)
@@ -304,12 +391,13 @@ def select(text: str, trees: Trees | None) -> list[tuple[str, int, int, bool, fl
             i = int(np.searchsorted(starts, end)) - 1
             return i < 0 or reach[i] <= start
 
-        others = [c for c in others if free(c[1], c[2])]
-    if others:
-        chance = trees.probability(np.array([features(text, *c) for c in others]))
-        passed = sorted((-p, *c) for p, c in zip(chance, others) if p >= trees.thresholds[c[0]])
+        others = (c for c in islice(candidates(text, base), len(fixed), None) if free(c[1], c[2]))
+        passed = []
+        while block := list(islice(others, JUDGED)):
+            chance = trees.probability(np.array([features(text, *c) for c in block]))
+            passed += [(-p, *c) for p, c in zip(chance, block) if p >= trees.thresholds[c[0]]]
         used: list[Span] = []
-        for p, kind, start, end in sorted(passed, key=lambda c: (c[0], c[2], c[3], KINDS.index(c[1]))):
+        for p, kind, start, end in sorted(passed, key=lambda c: (c[0], c[2], -c[3], KINDS.index(c[1]))):
             i = _place(used, start)
             if (i == 0 or used[i - 1][1] <= start) and (i == len(used) or used[i][0] >= end):
                 used.insert(i, (start, end))

@@ -308,6 +308,47 @@ def test_trees_add_spans_and_leave_clean_texts(spark):
     assert pii.select(clean, trees) == []
 
 
+BESIDE = [("pay 4111 1111 1111 1111 12/27 now", "card", "4111 1111 1111 1111"),
+          ("call +1 (555) 010-4242 2024-05-01 ok", "phone", "+1 (555) 010-4242"),
+          ("cards 4111 1111 1111 1111 5500 0000 0000 0004 end", "card", "4111 1111 1111 1111"),
+          ("cards 4111 1111 1111 1111 5500 0000 0000 0004 end", "card", "5500 0000 0000 0004"),
+          ("x00004111111111111111000000000000000", "card", "4111111111111111")]
+
+
+def test_numbers_beside_others_are_candidates():
+    for text, kind, span in BESIDE:
+        found = [(k, text[a:b]) for k, a, b in pii.candidates(text, pii.base_spans(text))]
+        assert (kind, span) in found and len(found) == len(set(pii.candidates(text, pii.base_spans(text))))
+
+
+def brute_numbers(text):
+    groups, found = [m.span() for m in re.finditer("[0-9]+", text)], set()
+    for i, (a, b) in enumerate(groups):
+        start = a - len(re.search(r"\+?\(?$", text[:a]).group())
+        for j in range(i, len(groups)):
+            if j > i and not re.fullmatch(r"[ ().\-/_·]{1,2}", text[groups[j - 1][1]:groups[j][0]]):
+                break
+            n = len(re.sub("[^0-9]", "", text[a:groups[j][1]]))
+            found |= {(k, start, groups[j][1]) for k, least, most in (("phone", 7, 15), ("card", 13, 19)) if least <= n <= most}
+        found |= {("card", x, y) for x in range(a, b) for y in range(x + 13, min(b, x + 19) + 1)
+                  if (x, y) != (a, b) and pii.luhn(text[x:y])}
+    return found
+
+
+@given(st.lists(st.sampled_from(["1", "42", "4111", "5550104", "9" * 17, "41111111111111110", " ", "-", "/", " (", ") ", "+", "+(", "   ", "x", "."]),
+                max_size=25).map("".join))
+@settings(max_examples=300, deadline=None)
+def test_number_candidates_are_all_rows_of_groups(text):
+    found = list(pii.numbers(text))
+    assert set(found) == brute_numbers(text) and len(found) == len(set(found))
+
+
+def test_trees_choose_numbers_beside_others(spark):
+    trees = pii.train(personal(spark)[0])
+    for text, kind, span in BESIDE[:4]:
+        assert (kind, span) in [(s[0], text[s[1]:s[2]]) for s in pii.select(text, trees)], text
+
+
 def test_find_and_redact(spark):
     df = frame(spark, [(1, "x joe@a.example.com y", "s"), (2, None, "s"), (3, "", "s")]).selectExpr("*", "1 as SPANS")
     got = {r.doc_id: r.spans for r in pii.find(df).collect()}
