@@ -101,10 +101,10 @@ def base_spans(text: str) -> dict[str, list[Span]]:
 
 # --- generators --------------------------------------------------------------------------------
 
-_LOOSE_EMAIL = re.compile(
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\s?(?:@|\(at\)|\[at\]|\{at\}|\bat\b)\s?[A-Za-z0-9-]{1,63}"
-    r"(?:\s?(?:\.|\(dot\)|\[dot\]|\{dot\}|\bdot\b)\s?[A-Za-z0-9-]{1,63}){1,6}", re.I)
-_LOOSE_EMAIL_SIGN = re.compile(r"@|[(\[{]at[)\]}]|\bdot\b", re.I)
+#: What stands for the at sign, and what follows it; the name before it is read backwards from there.
+_LOOSE_AT = re.compile(r"@|\(at\)|\[at\]|\{at\}|\bat\b", re.I)
+_LOOSE_DOMAIN = re.compile(
+    r"\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\.|\(dot\)|\[dot\]|\{dot\}|\bdot\b)\s?[A-Za-z0-9-]{1,63}){1,6}", re.I)
 _LOOSE_IP = re.compile(r"(?<![0-9])[0-9]{1,3}(?:\s?(?:\.|\[\.\]|\(\.\)|,)\s?[0-9]{1,3}){3}(?![0-9])")
 #: What may stand between two digit groups of one number.
 _JOINT = re.compile(r"[\x20().\-/_·]{1,2}")
@@ -165,12 +165,24 @@ def numbers(text: str) -> Iterator[tuple[str, int, int]]:
         row.pop(0)
 
 
+def loose_emails(text: str) -> Iterator[Span]:
+    """Names of at most 64 signs, something for the at sign, and a domain with something for its dots."""
+    for at in _LOOSE_AT.finditer(text):
+        end = at.start()
+        if end and text[end - 1] not in _LOCAL and text[end - 1].isspace():
+            end -= 1
+        start = end
+        while start and end - start <= 64 and text[start - 1] in _LOCAL:
+            start -= 1
+        if 0 < end - start <= 64 and (domain := _LOOSE_DOMAIN.match(text, at.end())):
+            yield start, domain.end()
+
+
 def candidates(text: str, base: dict[str, list[Span]]) -> Iterator[tuple[str, int, int]]:
     """Spans that may be personal data, many of them overlapping; base spans come first."""
     known = {(kind, *span) for kind in KINDS for span in base[kind]}
     yield from ((kind, *span) for kind in KINDS for span in base[kind])
-    if _LOOSE_EMAIL_SIGN.search(text):
-        yield from (c for m in _LOOSE_EMAIL.finditer(text) if (c := ("email", *m.span())) not in known)
+    yield from (c for span in loose_emails(text) if (c := ("email", *span)) not in known)
     if _DIGIT.search(text):
         yield from (c for m in _LOOSE_IP.finditer(text) if (c := ("ip", *m.span())) not in known)
         yield from (c for c in numbers(text) if c not in known)

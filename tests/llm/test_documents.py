@@ -349,6 +349,26 @@ def test_trees_choose_numbers_beside_others(spark):
         assert (kind, span) in [(s[0], text[s[1]:s[2]]) for s in pii.select(text, trees)], text
 
 
+LOOSE_EMAIL = re.compile(
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\s?(?:@|\(at\)|\[at\]|\{at\}|\bat\b)\s?[A-Za-z0-9-]{1,63}"
+    r"(?:\s?(?:\.|\(dot\)|\[dot\]|\{dot\}|\bdot\b)\s?[A-Za-z0-9-]{1,63}){1,6}", re.I)
+
+
+@given(st.lists(st.sampled_from(["joe", "a.b", " ", "at", "AT", "@", "(at)", "[at]", " at ", ".", "dot", " (dot) ", "host.example", "com", "-", "é",
+                                 "\n", "x" * 64]), max_size=14).map("".join))
+@settings(max_examples=500, deadline=None)
+def test_loose_emails_hold_all_matches_of_the_pattern(text):
+    found = set(pii.loose_emails(text))
+    # A match of the whole pattern may run over another's at sign; from each name at the latest at sign it is found.
+    assert all(any(s <= m.end() and m.start() <= e for s, e in found) for m in LOOSE_EMAIL.finditer(text))
+    assert all(LOOSE_EMAIL.match(text, s) for s, e in found)
+
+
+def test_worded_emails_are_candidates_whatever_else_the_text_holds():
+    for text in ("write to joe.b at host3.example.com today", "please call 1 (555) 010-4242 or write to joe.b at host3.example.com today"):
+        assert "joe.b at host3.example.com" in [text[a:b] for k, a, b in pii.candidates(text, pii.base_spans(text)) if k == "email"]
+
+
 def test_find_and_redact(spark):
     df = frame(spark, [(1, "x joe@a.example.com y", "s"), (2, None, "s"), (3, "", "s")]).selectExpr("*", "1 as SPANS")
     got = {r.doc_id: r.spans for r in pii.find(df).collect()}
