@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from hashlib import blake2b
+from heapq import heappush, heapreplace
 from itertools import islice
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -14,15 +19,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from retailflow.llm.common import columns, whole_text, without
+from retailflow.llm.common import columns, whole_text, without, written
 from retailflow.llm.pieces import blocks_of
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents the trees are trained on at most, and candidates taken from them.
 SAMPLE_DOCS, SAMPLE_CANDIDATES = 4000, 8000
-#: Precision that a kind's threshold must reach on the held-back quarter of the candidates, and the
-#: number of accepted candidates there that must show it.
+#: Precision that a kind's threshold must reach on all candidates of the held-back quarter of the texts, and
+#: the number of accepted candidates there that must show it.
 PRECISION, SUPPORT = 0.99, 10
+#: Texts are held back by their hash, one of so many; scores are counted in so many steps.
+HELD, STEPS = 4, 4096
+#: What texts show that may hold a kind; texts that train are taken for each of these.
+SIGNS = (r"@|\b[Aa][Tt]\b", r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", r"(?:[0-9][\x20().\-/_·]{0,2}){13}", r"\+[0-9]", "[0-9]{3}")
 TREES, DEPTH = 20, 3
 CONTEXT = 24
 #: Candidates of a text whose features are held at once.
@@ -331,36 +340,50 @@ def _flat(model, thresholds: dict[str, float]) -> Trees:
 
 def train(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS,
           sample_candidates: int = SAMPLE_CANDIDATES, precision: float = PRECISION) -> Trees | None:
-    """Trees and thresholds from at most ``sample_docs`` texts with digits or at signs; none if they hold
-    only candidates of one label.
+    """Trees from at most ``sample_docs`` texts and ``sample_candidates`` of their candidates, thresholds from all
+    candidates of a quarter of all texts; none if the former have only one label.
 
-    Texts are taken by the order of a hash. Three quarters of the candidates train the trees; on
-    the rest each kind gets the lowest threshold whose accepted candidates have the wanted precision.
+    A text's hash decides whether it trains or is held back. Of the others as many are taken for each of ``SIGNS``,
+    and as many candidates of each kind and label, both in the order of a hash. Each kind gets the
+    lowest threshold whose accepted candidates in the held-back texts have the wanted precision.
     """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.linalg import Vectors
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for value in batch.column(0).to_pylist():
-                shown = examples(value, base_spans(value))
-                while found := list(islice(shown, JUDGED)):
-                    yield pa.RecordBatch.from_arrays([pa.array([x for x, _, _ in found], pa.list_(pa.float64())),
-                                                      pa.array([y for _, y, _ in found], pa.float64()),
-                                                      pa.array([k for _, _, k in found], pa.string())], names=["x", "y", "kind"])
-
     spark = docs.sparkSession
-    texts = docs.select(whole_text(text).alias("t")).filter(F.col("t").rlike("[0-9]{3}|@")).withColumn("h", F.xxhash64("t"))
-    # The cut is found among the hashes alone, so no task gathers texts; copies of a text count once.
-    cut = texts.select("h").distinct().orderBy("h").limit(sample_docs).agg(F.max("h").alias("cut")).collect()[0].cut
-    if cut is None:
+    texts = docs.select(whole_text(text).alias("t")).filter(F.col("t").rlike("|".join(SIGNS))).withColumn("h", F.xxhash64("t"))
+    held_back = F.pmod("h", F.lit(HELD)) == 0
+    # The cuts are found among the hashes alone, so no task gathers texts; copies of a text count once.
+    hashes = written(texts.filter(~held_back).select("h", *(F.col("t").rlike(sign).alias(f"s{i}") for i, sign in enumerate(SIGNS))).distinct(), "pii")
+    cuts = [hashes.filter(f"s{i}").select("h").orderBy("h").limit(max(1, sample_docs // len(SIGNS))).agg(F.max("h").alias("cut"))
+            .withColumn("sign", F.lit(i)) for i in range(len(SIGNS))]
+    cuts = [r for r in reduce(DataFrame.unionByName, cuts).collect() if r.cut is not None]
+    if not cuts:
         return None
-    # A text of unknown length may hold any number of candidates; the bound is on these as well.
-    rows = (texts.filter(F.col("h") <= cut).dropDuplicates(["h"]).select("t").mapInArrow(run, "x array<double>, y double, kind string")
-            .withColumn("h", F.xxhash64("x", "y")).orderBy("h", "kind").limit(sample_candidates).collect())
-    if len({r.y for r in rows}) < 2:
-        return None
-    fitted = [r for i, r in enumerate(rows) if i % 4]
+    taken = reduce(or_, (F.col("t").rlike(SIGNS[r.sign]) & (F.col("h") <= r.cut) for r in cuts))
+    each = max(1, sample_candidates // (2 * len(KINDS)))
+
+    def shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each kind and label the ``each`` examples of smallest hash that this task meets."""
+        kept: dict[tuple[str, float], list[tuple[int, int, list[float]]]] = {(k, y): [] for k in KINDS for y in (0.0, 1.0)}
+        for batch in batches:
+            for value, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for place, (x, y, kind) in enumerate(examples(value, base_spans(value))):
+                    # The hash is of text and place, so equal features don't stand together; smallest on top when negated.
+                    heap, own = kept[kind, y], -int.from_bytes(blake2b(f"{h}:{place}".encode(), digest_size=7).digest(), "big")
+                    if len(heap) < each:
+                        heappush(heap, (own, place, x))
+                    elif own > heap[0][0]:
+                        heapreplace(heap, (own, place, x))
+        found = [(-own, x, y, kind) for (kind, y), heap in kept.items() for own, _, x in heap]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in found], pa.int64()), pa.array([r[1] for r in found], pa.list_(pa.float64())),
+                                          pa.array([r[2] for r in found], pa.float64()), pa.array([r[3] for r in found], pa.string())],
+                                         names=["own", "x", "y", "kind"])
+
+    rows = written(texts.filter(~held_back & taken).dropDuplicates(["h"]).select("t", "h").mapInArrow(
+        shown, "own long, x array<double>, y double, kind string"), "pii")
+    strata = [rows.filter((F.col("kind") == kind) & (F.col("y") == y)).orderBy("own", "x").limit(each) for kind in KINDS for y in (0.0, 1.0)]
+    fitted = sorted(reduce(DataFrame.unionByName, strata).collect(), key=lambda r: (r.own, r.kind, r.y))
     if len({r.y for r in fitted}) < 2:
         return None
     frame = spark.createDataFrame([(Vectors.dense(r.x), r.y) for r in fitted], ["features", "label"]).coalesce(1).cache()
@@ -369,19 +392,40 @@ def train(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS,
     finally:
         frame.unpersist()
     trees = _flat(model, {})
-    held = rows[::4]
-    chance = trees.probability(np.array([r.x for r in held]).reshape(len(held), -1))
-    truth, kinds = np.array([r.y for r in held]), np.array([r.kind for r in held])
-    thresholds = {}
-    for kind in KINDS:
-        p, y = chance[kinds == kind], truth[kinds == kind]
-        order = np.argsort(-p, kind="stable")
-        share = np.cumsum(y[order]) / np.arange(1, len(order) + 1)
-        # Equal scores are accepted together, so a cut lies behind the last of them.
-        last = np.append(p[order][1:] < p[order][:-1], True) if len(order) else np.zeros(0, bool)
-        good = np.flatnonzero((share >= precision) & last & (np.arange(1, len(order) + 1) >= SUPPORT))
-        thresholds[kind] = float(max(0.5, p[order][good[-1]])) if len(good) else 2.0
-    return _flat(model, thresholds)
+    shared = spark.sparkContext.broadcast(trees)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts of a text's examples by kind, step of the score and label."""
+        for batch in batches:
+            for value, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                counts, shown = Counter(), examples(value, base_spans(value))
+                while found := list(islice(shown, JUDGED)):
+                    steps = (shared.value.probability(np.array([x for x, _, _ in found])) * STEPS).astype(int).tolist()
+                    counts.update((kind, step, y) for step, (_, y, kind) in zip(steps, found))
+                keys = list(counts)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([h] * len(keys), pa.int64()), pa.array([k for k, _, _ in keys], pa.string()), pa.array([s for _, s, _ in keys], pa.int32()),
+                     pa.array([y for _, _, y in keys], pa.float64()), pa.array([counts[k] for k in keys], pa.int64())],
+                    names=["h", "kind", "step", "y", "n"])
+
+    # Copies of a text have equal counts, of which one stays.
+    counts = (texts.filter(held_back).select("t", "h").mapInArrow(scored, "h long, kind string, step int, y double, n long")
+              .dropDuplicates(["h", "kind", "step", "y"]).groupBy("kind", "step", "y").agg(F.sum("n").alias("n")).collect())
+    return _flat(model, {kind: threshold([(r.step, r.y, r.n) for r in counts if r.kind == kind], precision) for kind in KINDS})
+
+
+def threshold(counts: list[tuple[int, float, int]], precision: float) -> float:
+    """The lowest score, not below one half, from which on accepted candidates have the precision; 2 where none has.
+
+    ``counts`` are (step of the score, label, candidates).
+    """
+    right, all_ = np.zeros(STEPS + 1), np.zeros(STEPS + 1)
+    for step, y, n in counts:
+        right[step] += n * y
+        all_[step] += n
+    right, all_ = np.cumsum(right[::-1])[::-1], np.cumsum(all_[::-1])[::-1]
+    good = np.flatnonzero((right >= precision * all_) & (all_ >= SUPPORT))
+    return float(max(0.5, good[0] / STEPS)) if len(good) else 2.0
 
 
 def select(text: str, trees: Trees | None) -> list[tuple[str, int, int, bool, float]]:

@@ -369,6 +369,25 @@ def test_worded_emails_are_candidates_whatever_else_the_text_holds():
         assert "joe.b at host3.example.com" in [text[a:b] for k, a, b in pii.candidates(text, pii.base_spans(text)) if k == "email"]
 
 
+def test_worded_emails_are_found_whatever_else_the_text_holds(spark):
+    trees = pii.train(personal(spark)[0])
+    for text in ("write to joe.b at host3.example.com today", "please call 1 (555) 010-4242 or write to joe.b at host3.example.com today"):
+        assert "joe.b at host3.example.com" in [text[a:b] for k, a, b in pii.candidates(text, pii.base_spans(text)) if k == "email"]
+        assert ("email", "joe.b at host3.example.com", False) in [(s[0], text[s[1]:s[2]], s[3]) for s in pii.select(text, trees)]
+
+
+def test_number_tables_switch_no_rare_kind_off(spark):
+    rng = random.Random(3)
+    texts = personal(spark)[1][:80] + [" ".join(f"{rng.randrange(10 ** 7, 10 ** 9)};" for _ in range(4000)) for _ in range(8)]
+    trees = pii.train(frame(spark, [(i, t, "s") for i, t in enumerate(texts)]), sample_candidates=800)
+    assert all(t <= 1 for t in trees.thresholds.values()), trees.thresholds
+
+
+def test_thresholds_count_all_candidates():
+    assert pii.threshold([(4000, 1.0, 99), (3000, 0.0, 1), (2500, 0.0, 5)], 0.99) == 2501 / 4096
+    assert pii.threshold([(4000, 1.0, 9)], 0.99) == 2.0 and pii.threshold([(4000, 1.0, 10)], 0.99) == 0.5
+
+
 def test_find_and_redact(spark):
     df = frame(spark, [(1, "x joe@a.example.com y", "s"), (2, None, "s"), (3, "", "s")]).selectExpr("*", "1 as SPANS")
     got = {r.doc_id: r.spans for r in pii.find(df).collect()}
