@@ -29,6 +29,20 @@ def columns(df: DataFrame, *others: str) -> list[Column]:
     return [F.col("`" + c.replace("`", "``") + "`") for c in (*df.columns, *others)]
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns that an operator adds for itself: none that ``df`` has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        own, i = f"__{name}", 0
+        while own in taken:
+            i += 1
+            own = f"__{name}{i}"
+        taken.add(own)
+        out.append(own)
+    return out
+
+
 def new_folder(spark: SparkSession, kind: str) -> str:
     """A fresh folder name under the shared folder; Spark's committing writers create it."""
     return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"

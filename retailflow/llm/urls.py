@@ -19,14 +19,20 @@ RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.
          ("net", "/es/", "block"), ("net", "/fr/", "block"))
 
 
-def with_parts(pages: DataFrame, url: str = "url") -> DataFrame:
-    """``pages`` with ``host`` (ASCII letters in lower case) and ``path``, both empty without ``://``."""
+def host_and_path(url: Column) -> tuple[Column, Column]:
+    """Host (ASCII letters in lower case) and path of a URL, both empty without ``://``."""
     at = F.instr(url, "://")
-    rest = F.when(at > 0, F.substr(F.col(url), at + 3))
+    rest = F.when(at > 0, F.substr(url, at + 3))
     host = F.regexp_extract(rest, r"^[^/?#]*", 0)
     path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
     lower = F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return pages.withColumn("host", F.coalesce(lower, F.lit(""))).withColumn("path", F.coalesce(path, F.lit("")))
+    return F.coalesce(lower, F.lit("")), F.coalesce(path, F.lit(""))
+
+
+def with_parts(pages: DataFrame, url: str = "url") -> DataFrame:
+    """``pages`` with ``host`` and ``path``."""
+    host, path = host_and_path(F.col(url))
+    return pages.withColumn("host", host).withColumn("path", path)
 
 
 def rule_list(spark: SparkSession, rules=RULES) -> DataFrame:
