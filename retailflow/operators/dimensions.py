@@ -116,16 +116,10 @@ def changed_rows(dim: DataFrame, incoming: DataFrame, key: str, ignore: Sequence
             .select("new.*"))
 
 
-def scd2_merge(dim: DataFrame, incoming: DataFrame, key: str, now: Column,
-               ignore: Sequence[str] = ()) -> DataFrame:
-    """Next snapshot of a dimension.
-
-    One full outer join of the current versions with the incoming rows decides what each
-    key becomes: untouched, unchanged, expired plus a new version, or a first version.
-    Closed versions pass through. With no current rows everything is a first version.
-    """
-    columns = [c for c in incoming.columns if c not in SCD_COLUMNS]
-    now = now.cast("timestamp")
+def _joined_versions(dim: DataFrame, incoming: DataFrame, key: str, now: Column, ignore: Sequence[str],
+                     columns: list[str]) -> tuple[DataFrame, Column, Column, Column]:
+    """Current versions joined with incoming rows: (join, the old version as it becomes, the version that is added, whether
+    the old one is replaced)."""
     new = incoming.select(*columns, F.lit(True).alias("here")).alias("new")
     old = current(dim).select(*columns, *SCD_COLUMNS, F.lit(True).alias("here")).alias("old")
 
@@ -142,8 +136,29 @@ def scd2_merge(dim: DataFrame, incoming: DataFrame, key: str, now: Column,
         F.when(replaced, now).otherwise(F.col("old.effective_end_date")), ~replaced))
     added = F.when(is_new & (~is_old | replaced), version(
         "new", now, F.lit(OPEN_END).cast("timestamp"), F.lit(True)))
-    merged = (new.join(old, F.col(f"new.{key}") == F.col(f"old.{key}"), "full_outer")
-              .select(F.explode(F.filter(F.array(kept, added), lambda v: v.isNotNull())).alias("v"))
-              .select("v.*"))
+    return new.join(old, F.col(f"new.{key}") == F.col(f"old.{key}"), "full_outer"), kept, added, replaced
+
+
+def _listed(joined: DataFrame, *versions: Column) -> DataFrame:
+    return (joined.select(F.explode(F.filter(F.array(*versions), lambda v: v.isNotNull())).alias("v")).select("v.*"))
+
+
+def scd2_merge(dim: DataFrame, incoming: DataFrame, key: str, now: Column,
+               ignore: Sequence[str] = ()) -> DataFrame:
+    """Next snapshot of a dimension.
+
+    One full outer join of the current versions with the incoming rows decides what each
+    key becomes: untouched, unchanged, expired plus a new version, or a first version.
+    Closed versions pass through. With no current rows everything is a first version.
+    """
+    columns = [c for c in incoming.columns if c not in SCD_COLUMNS]
+    joined, kept, added, _ = _joined_versions(dim, incoming, key, now.cast("timestamp"), ignore, columns)
     closed = dim.filter(~F.col("is_current")).select(*columns, *SCD_COLUMNS)
-    return closed.unionByName(merged)
+    return closed.unionByName(_listed(joined, kept, added))
+
+
+def scd2_delta(dim: DataFrame, incoming: DataFrame, key: str, now: Column, ignore: Sequence[str] = ()) -> DataFrame:
+    """What :func:`scd2_merge` changes: the versions that end, with their end, and those that begin."""
+    columns = [c for c in incoming.columns if c not in SCD_COLUMNS]
+    joined, kept, added, replaced = _joined_versions(dim, incoming, key, now.cast("timestamp"), ignore, columns)
+    return _listed(joined, F.when(replaced, kept), added)

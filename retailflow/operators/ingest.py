@@ -132,3 +132,18 @@ def ingest_rate(messages: DataFrame, width: str = "1 minute", seconds: int = 60)
 
 def duplicates(events: DataFrame, key: str = "event_id") -> DataFrame:
     return events.groupBy(key).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+
+
+def first_occurrences(events: DataFrame, key: str, within_watermark: bool | None = None) -> DataFrame:
+    """Each event once, by its id.
+
+    In a stream an id is remembered as long as the watermark needs, so the state stays bounded; the source must
+    have declared event time, and events behind the watermark go, as the windows after it would drop
+    them. In batch all rows are compared. Events without an id are told apart by all their fields.
+    """
+    fields = [c for c in events.columns if c != key]
+    told = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("?"), F.sha2(F.to_json(F.struct(*fields)), 256)))
+    marked = events.withColumn("_told", told)
+    streams = events.isStreaming if within_watermark is None else within_watermark
+    once = marked.dropDuplicatesWithinWatermark(["_told"]) if streams else marked.dropDuplicates(["_told"])
+    return once.drop("_told")

@@ -401,6 +401,16 @@ BODIES: dict[str, str] = {
                            having="sum(quantity) / 30.0::double >= 1"),
     "inventory_metrics": "select * from t_inventory",
     "stream_sales_by_country": "select * from t_country",
+    "stream_dedup_sales": "select * from t_country",
+    "sink_manifest": """select event_id, event_type, user_id, session_id, product_id, "timestamp" as event_timestamp,
+      quantity, cart_value, country from fx_carts""",
+    "customers_incremental": "select * from d_incoming",
+    "rfm_incremental": "select * from a_metrics",
+    "performance_incremental": "select * from a_performance",
+    "scd2_delta": "select * from d_history",
+    "distinct_rollup": f"""select date_trunc('month', "timestamp") as period, category, count(*) as total_views,
+      count(distinct user_id) as unique_users, count(distinct product_id) as unique_products, {_mavg('price')} as avg_product_price
+      from fx_views where event_type = 'view' group by 1, 2""",
     "stream_abandoned_carts": "select * from t_abandoned",
     "stream_cart_sessions": "select * from t_sessions",
     "stream_product_velocity": _win(

@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 from retailflow import schemas
 from retailflow.config import Realtime, Scoring, Vocabulary, Windowing
 from retailflow.functions.eventtime import as_ntz
-from retailflow.operators import analytics, anomalies, catalog, dimensions, facts, ingest, quality, serving, windows
+from retailflow.operators import analytics, anomalies, catalog, dimensions, facts, ingest, quality, serving, sketches, totals, windows
 from retailflow.plans import warehouse
+from retailflow.plans.history import History
 from retailflow.sources import tables as table_sources
 from retailflow.sources.fixtures import REGION_ROWS, RetailTables
 from retailflow.session import shared_folder
 from retailflow.sources.streams import file_stream, with_event_time
+from retailflow.streaming.managed import ManagedTable
 from retailflow.streaming.replay import replay
 
 #: Parameters under which every label and filter of the operators has rows on these tables.
@@ -194,6 +196,83 @@ def _batch_two_days(w: Workload) -> DataFrame:
         "event_id", "date_id", "transaction_id", "quantity", "total_amount", "transaction_timestamp")
 
 
+def _fresh(w: Workload, kind: str) -> str:
+    return f"{shared_folder(w.spark)}/{kind}-{uuid4().hex}"
+
+
+def _sink_manifest(w: Workload) -> DataFrame:
+    """Cart events in micro-batches to a managed table: each batch twice, small folders merged midway."""
+    table = ManagedTable(w.spark, _fresh(w, "carts"), ("event_day", F.to_date("event_timestamp")), ["event_timestamp"], fan_in=3)
+    carts = ingest.cart_events(w.carts)
+    for batch in range(4):
+        rows = carts.filter(F.pmod(F.xxhash64("event_id"), F.lit(4)) == batch)
+        table.append(rows, batch)
+        table.append(rows, batch)
+        if batch == 2:
+            table.compact()
+    return table.read()
+
+
+#: Bounds of the batches in which sales come in; times before and after them have a batch as well.
+BATCH_BOUNDS = ("1994-06-01", "1997-01-01")
+
+
+def _batches(events: DataFrame, ts: str):
+    """(name, rows) of batches by time; rows without a time come with the last."""
+    bounds = [None, *BATCH_BOUNDS, None]
+    for start, end in zip(bounds, bounds[1:]):
+        rows = events
+        if start:
+            rows = rows.filter((F.col(ts) >= _ts(start)) | F.col(ts).isNull() if end is None else F.col(ts) >= _ts(start))
+        yield f"from {start}", rows.filter(F.col(ts) < _ts(end)) if end else rows
+
+
+def _totals(w: Workload, kind: str, made: totals.Totals, events: DataFrame, ts: str) -> DataFrame:
+    """Totals after three batches, one of them run again, with the partial rows folded after the second."""
+    table = totals.TotalsTable(ManagedTable(w.spark, _fresh(w, kind)), made)
+    for i, (name, rows) in enumerate(_batches(events, ts)):
+        table.add(name, rows)
+        if i == 1:
+            table.fold()
+            table.add(name, rows)
+    return table.read()
+
+
+def _customers_incremental(w: Workload) -> DataFrame:
+    stats = totals.customer_stats(_totals(w, "customers", totals.customer_totals(), w.purchases, "transaction_timestamp"))
+    return _scd2_columns(dimensions.customer_dimension(stats, SCORING))
+
+
+def _performance_incremental(w: Workload) -> DataFrame:
+    sold = w.sales.filter(F.col("transaction_timestamp").isNotNull() & F.col("product_id").isNotNull())
+    return totals.product_performance(
+        _totals(w, "sold", totals.product_totals(), sold, "transaction_timestamp"),
+        _totals(w, "viewed", totals.view_totals(), w.views.filter(F.col("product_id").isNotNull()), "timestamp"))
+
+
+def _scd2_delta(w: Workload) -> DataFrame:
+    """The history after its first load and one run, each run once more, and a compaction."""
+    history = History(w.spark, _fresh(w, "history"), "user_id", buckets=8)
+    for day, rows in ((LOADED_AT, w.customers_before(SNAPSHOT)), (MERGED_AT, w.customers_all)):
+        history.merge(rows, _ts(day), batch=day)
+        history.merge(rows, _ts(day), batch=day)
+    history.compact(2)
+    return history.read()
+
+
+def _stream_dedup(w: Workload) -> DataFrame:
+    """Sales by country of a stream in which each transaction comes twice."""
+    streams = [_timed(Workload(w.spark, w.data.folder, frozenset({"orders"})).transactions) for _ in range(2)]
+    once = ingest.first_occurrences(streams[0].unionByName(streams[1]), "transaction_id")
+    return replay(windows.sales_by_country(once, REALTIME), "complete")
+
+
+def _distinct_rollup(w: Workload) -> DataFrame:
+    """Distinct users and products per month and category from sketches of daily windows."""
+    daily = sketches.view_sketches(w.views, REALTIME.categories)
+    return sketches.estimated(sketches.rolled_up(sketches.rolled_up(daily, "day", ("category", "country")), "month"))
+
+
 # --- validation ------------------------------------------------------------------------------
 
 def _validated(messages: DataFrame, rules: quality.Ruleset) -> DataFrame:
@@ -301,6 +380,7 @@ QUERIES: dict[str, Callable[[Workload], DataFrame]] = {
     "stream_abandoned_carts": _stream(lambda w: windows.abandoned_carts(_timed(w.carts), REALTIME), "events"),
     "stream_cart_sessions": _stream(lambda w: windows.cart_sessions(_timed(w.carts), REALTIME), "events"),
     "stream_product_velocity": _stream_velocity,
+    "stream_dedup_sales": _stream_dedup,
     # validation
     "validate_transactions": lambda w: _shown(_validated(
         w.data.basket_messages(), quality.transaction_rules(WORDS))),
@@ -310,6 +390,14 @@ QUERIES: dict[str, Callable[[Workload], DataFrame]] = {
     "validation_errors": lambda w: quality.first_errors(_all_validated(w), "kind"),
     "duplicate_events": lambda w: ingest.duplicates(w.lines.select(
         F.concat_ws("-", "transaction_id", F.col("l_linenumber").cast("string")).alias("event_id"))),
+    # tables with a log, totals and history by batches
+    "sink_manifest": _sink_manifest,
+    "customers_incremental": _customers_incremental,
+    "rfm_incremental": lambda w: totals.rfm_metrics(
+        _totals(w, "rfm", totals.customer_totals(), w.sales, "transaction_timestamp"), w.analysis_date),
+    "performance_incremental": _performance_incremental,
+    "scd2_delta": lambda w: _scd2_columns(_scd2_delta(w)),
+    "distinct_rollup": _distinct_rollup,
     # dimensions
     "dim_date": lambda w: w.calendar,
     "dim_geography": lambda w: w.geography,

@@ -27,6 +27,13 @@ class Job:
     alerts: bool = False
     #: Whether the job keeps each event of its topic; undecodable text goes to its quarantine.
     raw: bool = False
+    #: Whether a repeated event is counted once. Rows behind the watermark go with it, so jobs that keep late
+    #: rows don't do it; their ids make repeats harmless.
+    once: bool = True
+
+
+#: The id that tells events of a topic apart.
+EVENT_IDS = {"transactions": "transaction_id", "product_views": "event_id", "cart_events": "event_id"}
 
 
 def _lines(op: Callable[..., DataFrame], cfg: Realtime) -> Callable[[DataFrame], DataFrame]:
@@ -53,9 +60,9 @@ def jobs(cfg: Realtime = REALTIME) -> dict[str, Job]:
         Job("search_behavior", views, lambda d: windows.search_behavior(d, cfg), cfg.searches.lateness),
         Job("browsing_sessions", views, lambda d: windows.browsing_sessions(d, cfg), cfg.browsing.lateness),
         Job("high_value_anomalies", tx, lambda d: anomalies.high_value_anomalies(d, cfg),
-            cfg.anomalies.lateness, found, alerts=True),
+            cfg.anomalies.lateness, found, alerts=True, once=False),
         Job("high_quantity_anomalies", tx, _lines(anomalies.high_quantity_anomalies, cfg),
-            cfg.anomalies.lateness, found, alerts=True),
+            cfg.anomalies.lateness, found, alerts=True, once=False),
         Job("suspicious_patterns", tx, lambda d: anomalies.suspicious_patterns(d, cfg),
             cfg.suspicious.lateness, found),
         Job("anomaly_stats", tx,
@@ -79,6 +86,8 @@ def built(decoded: DataFrame, job: Job) -> DataFrame:
     events = ingest.events_of(job.topic, decoded)
     if job.lateness:
         events = with_event_time(events, "timestamp", job.lateness)
+        if job.once:
+            events = ingest.first_occurrences(events, EVENT_IDS[job.topic])
     return ingest.stamped(job.build(events), *job.clock)
 
 
