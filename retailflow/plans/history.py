@@ -62,8 +62,10 @@ class History:
             delta = delta.withColumn(self.surrogate, dimensions.surrogate(self.key))
         staged = self.table.stage(delta)
         parts = self.table.parts(staged)
-        if not parts:
+        if not parts:  # nothing changed: the log still notes the schema and the batch
             self.table._delete(staged)
+            if snapshot.schema is None or batch is not None:
+                self.table.commit([], schema=delta.schema, batch=batch)
             return False
         if self.surrogate:
             self._check(stored, parts, delta)

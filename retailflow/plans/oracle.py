@@ -452,6 +452,7 @@ BODIES: dict[str, str] = {
       from fx_carts v left join d_before c on v.user_id = c.user_id
       left join fx_products p on p.product_id = v.product_id
       left join d_dates d on d.date = v."timestamp"::date""",
+    "fact_repair": _RESOLVED_SALES.replace("d_before", "d_incoming"),
     "incremental_load": """select distinct line_item_id as event_id, transaction_id, user_id, product_id, quantity,
       total_amount, transaction_timestamp from fx_sales s where not exists (select 1 from fx_sales e
         where e.line_item_id = s.line_item_id and e.transaction_timestamp < timestamp '2000-01-01')""",

@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retailflow.config import SCORING, Scoring
-from retailflow.operators import analytics, dimensions, facts, ingest
+from retailflow.operators import analytics, dimensions, facts, ingest, totals
+from retailflow.plans.history import History
 from retailflow.sources.tables import date_range, path_exists
 from retailflow.streaming import sinks
+from retailflow.streaming.managed import ManagedTable
 
 
 def versions(attributes: DataFrame, natural: str, surrogate: str, now: Column) -> DataFrame:
@@ -119,6 +121,54 @@ def run_batch(spark: SparkSession, root: str, lines: DataFrame, views: DataFrame
     return written
 
 
+def run_increment(spark: SparkSession, root: str, lines: DataFrame, views: DataFrame, carts: DataFrame, catalog: DataFrame,
+                  countries: DataFrame, batch: str, now: Column, scoring: Scoring = SCORING, fold_every: int = 7) -> dict[str, int]:
+    """One batch pass that reads the batch's events only, never those before it.
+
+    Customers come from the stored totals that the batch adds to; dimensions are histories that gain the versions that
+    change; facts are appended to their days. ``batch`` names the pass, and running it again changes nothing. The sales
+    and views of products add to totals as well. Returns the rows that each fact table received. Read dimensions with
+    :func:`increment_star`; customers as they were when their facts came keep those surrogates.
+    """
+    extend_calendar(spark, f"{root}/dim_date", lines.select("transaction_timestamp"),
+                    views.select("event_timestamp"), carts.select("event_timestamp"))
+    bought = stored_totals(spark, root, "customers", totals.customer_totals())
+    bought.add(batch, lines)
+    seen = lines.select("user_id").filter(F.col("user_id").isNotNull()).distinct()
+    # Totals of the customers in the batch: a customer without new sales can't have a new version.
+    stats = totals.customer_stats(bought.totals.merged(bought.table.read().join(seen, "user_id", "left_semi")))
+    histories = dimension_histories(spark, root)
+    histories["customers"].merge(dimensions.customer_dimension(stats, scoring), now, batch)
+    histories["products"].merge(dimensions.product_dimension(catalog), now, batch)
+    histories["geography"].merge(countries, now, batch)
+    star = increment_star(spark, root)
+    incoming = {"fact_sales": facts.fact_sales(lines, star), "fact_product_views": facts.fact_product_views(views, star),
+                "fact_cart_events": facts.fact_cart_events(carts, star)}
+    written = {name: load_facts(spark, f"{root}/{name}", rows) for name, rows in incoming.items()}
+    stored_totals(spark, root, "viewed", totals.view_totals()).add(batch, views.filter(F.col("product_id").isNotNull()))
+    for table in (bought, stored_totals(spark, root, "viewed", totals.view_totals())):
+        if len(table.table.log.snapshot().live) >= fold_every:
+            table.fold()
+    for history in histories.values():
+        history.compact()
+    return written
+
+
+def stored_totals(spark: SparkSession, root: str, name: str, made: totals.Totals) -> totals.TotalsTable:
+    return totals.TotalsTable(ManagedTable(spark, f"{root}/totals/{name}"), made)
+
+
+def dimension_histories(spark: SparkSession, root: str) -> dict[str, History]:
+    keys = {"customers": ("user_id", "customer_id"), "products": ("product_id", "product_id_pk"), "geography": ("country", "geography_id")}
+    return {name: History(spark, f"{root}/history/{name}", *key) for name, key in keys.items()}
+
+
+def increment_star(spark: SparkSession, root: str) -> facts.Star:
+    """The dimensions of :func:`run_increment`, all versions."""
+    return facts.Star(**{name: h.read() for name, h in dimension_histories(spark, root).items()},
+                      dates=spark.read.parquet(f"{root}/dim_date"))
+
+
 def scores(spark: SparkSession, root: str, star: facts.Star, sales: DataFrame, views: DataFrame,
            analysis_date: Column, scoring: Scoring = SCORING) -> dict[str, Callable[[str], int]]:
     """Writers of the four analytics tables, in the order they must run, from the stored facts."""

@@ -59,6 +59,17 @@ def is_folder(spark: SparkSession, path: str) -> bool:
     return fs.exists(hadoop) and fs.getFileStatus(hadoop).isDirectory()
 
 
+def rename(spark: SparkSession, path: str, target: str) -> None:
+    hadoop, fs = _file_system(spark, path)
+    if not fs.rename(hadoop, _file_system(spark, target)[0]):
+        raise OSError(f"{path} could not be renamed to {target}")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    hadoop, fs = _file_system(spark, path)
+    fs.delete(hadoop, True)
+
+
 def matching_paths(spark: SparkSession, pattern: str) -> list[str]:
     hadoop, fs = _file_system(spark, pattern)
     return [str(s.getPath().toString()) for s in (fs.globStatus(hadoop) or [])]

@@ -11,7 +11,8 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from retailflow.operators.anomalies import alert_messages, critical_alerts
 from retailflow.operators.ingest import stamped
-from retailflow.sources.tables import Jdbc, matching_paths, path_exists
+from retailflow.session import cut_lineage
+from retailflow.sources.tables import Jdbc, matching_paths, path_exists, remove, rename
 
 BatchWriter = Callable[[DataFrame, int], None]
 
@@ -118,7 +119,29 @@ def append(df: DataFrame, path: str, partition_by: str | None = None) -> None:
 
 
 def replace_all(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
+    """Replace a table's rows; a write that fails leaves the old ones readable.
+
+    The new rows are written beside the table, which they then replace by a rename. ``df`` may read the table.
+    Should the job end between the two renames, the next call finds the old table aside and puts it back first.
+    """
+    spark = df.sparkSession
+    aside, staged = f"{path}.replaced", f"{path}.next"
+    if path_exists(spark, aside):
+        if path_exists(spark, path):
+            remove(spark, aside)
+        else:
+            rename(spark, aside, path)
+    df.write.mode("overwrite").parquet(staged)
+    if path_exists(spark, path):
+        rename(spark, path, aside)
+    rename(spark, staged, path)
+    remove(spark, aside)
+    spark.catalog.refreshByPath(path)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise rows that are about to replace what they are read from."""
+    return cut_lineage(df)
 
 
 def replace_partitions(df: DataFrame, path: str, column: str = "analysis_date") -> None:
