@@ -56,6 +56,14 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of :func:`written` that no later step reads; what was made of them has been written."""
+    for df in tables:
+        for file in df.inputFiles()[:1]:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def salts(rows: int) -> int:
     """Cells per key: about the root of the rows, so neither a cell nor a key's cells are many."""
     return max(16, math.isqrt(max(0, rows)))

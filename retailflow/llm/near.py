@@ -6,12 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from retailflow.llm import bloom
-from retailflow.llm.common import columns, salted_totals, salts, whole_text, without, written
+from retailflow.llm.common import columns, discard, salted_totals, salts, unused, whole_text, written
 from retailflow.llm.pieces import blocks_of
 
 #: Words of a shingle and the similarity from which texts are linked.
@@ -19,10 +20,12 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 #: A pair of similarity 0.8 shares none of 32 bands of 6 coordinates with probability 6e-5.
 BANDS, ROWS = 32, 6
-#: Texts of a bucket that are compared with the rest of it in one round.
-LEADS = 64
+#: Texts, and elements of texts, of which a cell of a bucket holds about so many; a task compares two cells.
+CELL_TEXTS, CELL_ELEMENTS = 256, 1 << 20
 #: Cells over which a bucket's texts are spread before they are counted.
 SALTS = 64
+#: Elements that meet in one matrix product, and pairs of one element that are counted one by one instead.
+PRODUCT, COUNTED = 8_192, 1 << 24
 
 _U = np.uint64
 _GOLDEN = _U(0x9E3779B97F4A7C15)
@@ -168,15 +171,15 @@ def _lists(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
 
 
 def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, key, bands) per row of (doc_id, text); texts without words have no bands."""
+    """(doc_id, key, size, bands) per row of (doc_id, text): the number of elements, and the bands of texts with words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in _texts(batches):
             elems, counts, keys = elements(texts)
             hashes = band_hashes(signatures(elems, counts, bands * rows), bands, rows)
             yield pa.RecordBatch.from_arrays(
-                [ids, _keys(keys), _lists(hashes[counts > 0].ravel(), np.where(counts > 0, bands, 0))],
-                names=["doc_id", "key", "bands"])
-    return docs.mapInArrow(run, "doc_id long, key binary, bands array<long>")
+                [ids, _keys(keys), pa.array(counts, pa.int64()), _lists(hashes[counts > 0].ravel(), np.where(counts > 0, bands, 0))],
+                names=["doc_id", "key", "size", "bands"])
+    return docs.mapInArrow(run, "doc_id long, key binary, size long, bands array<long>")
 
 
 def element_sets(docs: DataFrame, wanted: bytes) -> DataFrame:
@@ -198,13 +201,91 @@ def key_hash(keys: pa.Array) -> pa.Array:
     return pa.array(np.array([int.from_bytes(k[:8], "little", signed=True) for k in keys.to_pylist()], np.int64))
 
 
-def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with ``similarity``, from the element sets of both."""
-    sa = sets.select(F.col("key").alias("a"), F.col("elements").alias("ea"))
-    sb = sets.select(F.col("key").alias("b"), F.col("elements").alias("eb"))
-    common = F.size(F.array_intersect("ea", "eb"))
-    return (pairs.join(sa, "a").join(sb, "b").withColumn("common", common)
-            .select("a", "b", (F.col("common") / (F.size("ea") + F.size("eb") - F.col("common"))).alias("similarity")))
+def common_counts(elems: np.ndarray, counts: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, common elements) of the pairs of texts that have any: one of ``first`` with one of the others.
+
+    Without others, pairs are those among the first, each once.
+    """
+    owner = np.repeat(np.arange(len(counts)), counts)
+    within = bool(first.all())
+    code = np.unique(elems, return_inverse=True)[1]
+    on_a = first[owner]
+    in_a = np.bincount(code[on_a], minlength=code.max(initial=-1) + 1)
+    in_b = in_a if within else np.bincount(code[~on_a], minlength=len(in_a))
+    shared = (in_a > 1) if within else (in_a > 0) & (in_b > 0)
+    take = shared[code]
+    code, owner, on_a = np.cumsum(shared)[code[take]] - 1, owner[take], on_a[take]
+    in_a, in_b = in_a[shared], in_b[shared]
+    rows = np.flatnonzero(first)
+    cols = rows if within else np.flatnonzero(~first)
+    place = np.zeros(len(counts), np.int64)
+    place[rows], place[cols] = np.arange(len(rows)), np.arange(len(cols))
+    common = np.zeros((len(rows), len(cols)), np.float32)
+    order = np.argsort(code, kind="stable")
+    code, at, on_a = code[order], place[owner[order]], on_a[order]
+    code_a, at_a = (code, at) if within else (code[on_a], at[on_a])
+    code_b, at_b = (code, at) if within else (code[~on_a], at[~on_a])
+    if int((in_a * in_b).sum()) <= COUNTED:
+        start = np.cumsum(in_b) - in_b
+        each = in_b[code_a]
+        other = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each) + np.repeat(start[code_a], each)
+        flat = np.repeat(at_a, each) * len(cols) + at_b[other]
+        common += np.bincount(flat, minlength=common.size).reshape(common.shape)
+    else:
+        for low in range(0, len(in_a), PRODUCT):
+            sides = []
+            for code_x, at_x, n in ((code_a, at_a, len(rows)), (code_b, at_b, len(cols))):
+                part = slice(*np.searchsorted(code_x, [low, low + PRODUCT]))
+                x = np.zeros((n, PRODUCT), np.float32)
+                x[at_x[part], code_x[part] - low] = 1
+                sides.append(x)
+            common += sides[0] @ sides[1].T
+    if within:
+        common = np.triu(common, 1)
+    a, b = np.nonzero(common)
+    return rows[a], cols[b], common[a, b].astype(np.int64)
+
+
+def spanning(a: np.ndarray, b: np.ndarray, roots: list[bytes]) -> list[tuple[int, int]]:
+    """Those of the pairs that join two components of ``roots`` which the pairs before don't."""
+    _, code = np.unique(np.array([r.hex() for r in roots]), return_inverse=True)
+    ends = np.sort(np.stack([code[a], code[b]], axis=1), axis=1)
+    _, once = np.unique(ends, axis=0, return_index=True)
+    up = list(range(int(code.max(initial=-1)) + 1))
+
+    def top(i: int) -> int:
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        return i
+
+    out = []
+    for i in once.tolist():
+        x, y = top(int(ends[i, 0])), top(int(ends[i, 1]))
+        if x != y:
+            up[x] = y
+            out.append((int(a[i]), int(b[i])))
+    return out
+
+
+def _compared(similarity: float):
+    """Links of a task's texts: those of side 0 with those of side 1, or with each other if there is no side 1."""
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        keys, roots = table.column("key").to_pylist(), table.column("root").to_pylist()
+        lists = table.column("elements").combine_chunks()
+        counts = pc.list_value_length(lists).to_numpy().astype(np.int64)
+        elems = lists.flatten().to_numpy().view(np.uint64)
+        side = table.column("side").to_numpy()
+        first = side == side.min()
+        if len(set(roots)) < 2:
+            a = b = np.zeros(0, np.int64)
+        else:
+            a, b, common = common_counts(elems, counts, first)
+            near = common / (counts[a] + counts[b] - common) >= similarity
+            a, b = a[near], b[near]
+        found = spanning(a, b, roots)
+        return pa.table({"a": pa.array([keys[i] for i, _ in found], pa.binary()), "b": pa.array([keys[j] for _, j in found], pa.binary())})
+    return run
 
 
 def forest(edges: DataFrame) -> bool:
@@ -246,18 +327,20 @@ def components(links: DataFrame) -> DataFrame:
     edges = links
     while not forest(edges):
         spread = salts(edges.count())
-        edges = written(star(star(edges, False, spread), True, spread), "links")
+        before, edges = edges, written(star(star(edges, False, spread), True, spread), "links")
+        if before is not links:
+            discard(before)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(
         edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
 def shared_buckets(texts: DataFrame) -> DataFrame:
-    """(bucket, key, lead, n) of the buckets that at least two texts share, from (key, bands); written.
+    """(bucket, key, size, lead, n) of the buckets that at least two texts share, from (key, size, bands); written.
 
     A bucket's lead is its most central text, that with the largest buckets on the whole, and ``n``
     its size. Buckets that surely hold one text are left out by a Bloom filter before anything shuffles.
     """
-    members = texts.select(F.explode("bands").alias("bucket"), "key")
+    members = texts.select(F.explode("bands").alias("bucket"), "key", "size")
     bits = bloom.build(members.select("bucket"), "bucket", texts.count() * BANDS, times=2)
     members = members.filter(bloom.test(members.sparkSession, F.col("bucket"), bits))
     dealt = members.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)))
@@ -266,62 +349,83 @@ def shared_buckets(texts: DataFrame) -> DataFrame:
     weight = sized.groupBy("key").agg(F.sum("n").alias("weight"))
     central = sized.join(weight, "key")
     best = salted_totals(central, "bucket", "key", "salt", ("lead", F.max(F.struct("weight", "key")), F.max("lead")))
-    return written(central.join(best, ["bucket", "salt"]).select("bucket", "key", F.col("lead.key").alias("lead"), "n"), "buckets")
+    named = written(central.join(best, ["bucket", "salt"]).select("bucket", "key", "size", F.col("lead.key").alias("lead"), "n"), "buckets")
+    discard(sized)
+    return named
+
+
+def cells_for(n: Column, size: Column) -> Column:
+    """Cells for so many texts with so many elements in all."""
+    return F.greatest(F.ceil(n / CELL_TEXTS), F.ceil(size / CELL_ELEMENTS))
 
 
-def bucket_links(texts: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, leads: int = LEADS) -> DataFrame:
+def star_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) of the lead a of its largest bucket with each text b; written.
+
+    The texts of a lead are dealt to cells, and the lead's elements go to each of them.
+    """
+    stars = members.filter("key != lead").groupBy("key").agg(F.max(F.struct("n", "lead", "size")).alias("most"))
+    stars = stars.select("key", "most.lead", "most.size").withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)))
+    totals = salted_totals(stars, "lead", "key", "salt", ("n", F.count(F.lit(1)), F.sum("n")), ("total", F.sum("size"), F.sum("total")))
+    dealt = stars.join(totals, ["lead", "salt"]).select(
+        "lead", "key", F.pmod(F.xxhash64("key", F.lit(1)), cells_for(F.col("n"), F.col("total"))).alias("cell"))
+    leads = dealt.select("lead", "cell").distinct().select("lead", F.col("lead").alias("key"), "cell", F.lit(0).alias("side"))
+    met = leads.unionByName(dealt.withColumn("side", F.lit(1))).join(sets, "key").withColumn("root", F.col("key"))
+    return written(met.groupBy("lead", "cell").applyInArrow(_compared(similarity), "a binary, b binary"), "found")
+
+
+def two_steps(stars: DataFrame) -> DataFrame:
+    """(node, root): the lead of each linked text's lead, or the lead itself.
+
+    Texts that are known to be connected share a root in most cases; where they don't, they are
+    compared once more, which costs time but no link.
+    """
+    up = stars.select(F.col("b").alias("text"), F.col("a").alias("further"))
+    return (stars.join(up, F.col("a") == F.col("text"), "left")
+            .select(F.col("b").alias("node"), F.coalesce("further", "a").alias("root")))
+
+
+def open_links(members: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links that join components, among all pairs of texts that share a bucket; written.
+
+    Only buckets with texts of different components are looked at, of those with the same texts one. A
+    bucket's texts are dealt to cells; each two cells meet in one task, which sends links that join
+    components, fewer than it has texts, and never the pairs that it compares.
+    """
+    placed = (members.select("bucket", "key", "size").join(roots.withColumnRenamed("node", "key"), "key", "left")
+              .withColumn("root", F.coalesce("root", "key")).withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS))))
+    cells = placed.groupBy("bucket", "salt").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"),
+        F.sum("size").alias("total"), F.bit_xor(F.xxhash64("key")).alias("mark"))
+    whole = cells.groupBy("bucket").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"),
+                                        F.sum("total").alias("total"), F.bit_xor("mark").alias("mark")).filter("low != high")
+    once = whole.groupBy("low", "high", "n", "total", "mark").agg(F.min("bucket").alias("of"))
+    counted = once.select("of", cells_for(F.col("n"), F.col("total")).cast("int").alias("cells"))
+    dealt = cells.select("bucket", "salt").join(counted, F.col("bucket") == F.col("of")).select("bucket", "salt", "cells")
+    opened = placed.join(dealt, ["bucket", "salt"]).select(
+        "bucket", "key", "root", "cells", F.pmod(F.xxhash64("key", F.lit(1)), F.col("cells")).alias("own"))
+    met = (opened.join(sets, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+           .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "key", "root",
+                   (F.col("own") > F.col("other")).cast("int").alias("side"), "elements"))
+    return written(met.groupBy("bucket", "i", "j").applyInArrow(_compared(similarity), "a binary, b binary"), "found")
+
+
+def bucket_links(texts: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(node, root) of the components of all pairs that share a bucket and are similar enough.
 
-    Each text is compared with the lead of its largest bucket, then with the leads of its other
-    buckets that it isn't connected to yet; that settles groups of thousands of near copies at
-    about one comparison a text. Then, in buckets whose texts are not yet all connected, texts outside the
-    largest component are compared with all texts of the bucket that they aren't connected to,
-    ``leads`` of them a round, until none is left. So no pair that could join two components is
-    passed over, and no bucket is expanded into all pairs.
+    Each text is compared with the lead of its largest bucket first; that settles groups of thousands of
+    close copies at about one comparison a text. Then all pairs of the buckets whose texts are not
+    yet connected are compared, block by block within tasks, so no pair that could join two components is
+    passed over and none is written.
     """
     members = shared_buckets(texts)
     keys = members.select("key").distinct()
     wanted = bloom.build(keys.select(key_hash("key").alias("h")), "h", keys.count())
     sets = written(element_sets(docs, wanted), "elements")
-
-    def similar(pairs: DataFrame) -> DataFrame:
-        return written(similarities(pairs.distinct(), sets).filter(F.col("similarity") >= similarity).select("a", "b"), "found")
-
-    def joined(roots: DataFrame, found: DataFrame) -> DataFrame:
-        """Links between roots that the new links connect, and those of each node to its root."""
-        return roots.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(found).distinct()
-
-    stars = members.filter("key != lead")
-    links = similar(stars.groupBy(F.col("key").alias("a")).agg(F.max(F.struct("n", "lead"))["lead"].alias("b")))
-    roots = components(links)
-    of = roots.select(F.col("node").alias("key"), "root")
-    apart = (stars.select("key", "lead").distinct().join(of, "key", "left")
-             .join(of.select(F.col("key").alias("lead"), F.col("root").alias("lead_root")), "lead", "left")
-             .filter(F.coalesce("root", "key") != F.coalesce("lead_root", "lead")))
-    links = joined(roots, similar(apart.select(F.col("key").alias("a"), F.col("lead").alias("b"))))
-    members, done = members.select("bucket", "key"), None
-    while True:
-        roots = components(links)
-        placed = members.join(roots.withColumnRenamed("node", "key"), "key", "left").select(
-            "bucket", "key", F.coalesce("root", "key").alias("root"))
-        parts = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-        mains = (parts.groupBy(F.col("bucket").alias("of"))
-                 .agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "root"))["root"].alias("main")).filter("parts > 1"))
-        members = written(placed.join(mains, F.col("bucket") == F.col("of")).select("bucket", "key", "root", "main"), "open")
-        rest = members.filter("root != main")
-        if done is not None:
-            rest = rest.join(done, ["bucket", "key"], "left_anti")
-        first = Window.partitionBy("bucket").orderBy("key")
-        chosen = written(rest.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= leads)
-                         .select("bucket", "key", "root"), "leads")
-        if chosen.isEmpty():
-            return roots
-        others = members.select("bucket", F.col("key").alias("b"), F.col("root").alias("of_b"))
-        found = similar(chosen.select("bucket", F.col("key").alias("a"), F.col("root").alias("of_a"))
-                        .join(others, "bucket").filter("of_a != of_b").select("a", "b"))
-        done = chosen.select("bucket", "key") if done is None else done.unionAll(chosen.select("bucket", "key"))
-        links = joined(roots, found)
-        members = members.select("bucket", "key")
+    stars = star_links(members, sets, similarity)
+    rest = open_links(members, two_steps(stars), sets, similarity)
+    discard(sets, members)
+    return components(written(stars.unionAll(rest).distinct(), "links"))
 
 
 def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY,
@@ -337,16 +441,16 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("text"))
     marks = written(signed(plain, bands, rows), "signed")
     salted = marks.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts(marks.count()))))
-    cells = written(salted.groupBy("key", "salt").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"),
-                                                      F.first("bands").alias("bands")), "cells")
+    cells = salted.groupBy("key", "salt").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"),
+                                              F.first("size").alias("size"), F.first("bands").alias("bands"))
     texts = written(cells.groupBy("key").agg(F.sum("n").alias("n"), F.min("least").alias("least"),
-                                             F.first("bands").alias("bands")), "texts")
-    roots = bucket_links(texts.select("key", "bands"), plain, similarity)
+                                             F.first("size").alias("size"), F.first("bands").alias("bands")), "texts")
+    roots = bucket_links(texts.select("key", "size", "bands"), plain, similarity)
     grouped = (texts.select("key", "n", "least").join(roots.withColumnRenamed("node", "key"), "key", "left")
                .withColumn("root", F.coalesce("root", "key")))
     sizes = grouped.groupBy(F.col("root").alias("of")).agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))
     named = grouped.join(sizes, F.col("root") == F.col("of")).select("key", "class_id", "class_size")
-    per_cell = cells.select("key", "salt").join(named, "key")
+    per_cell = salted.groupBy("key", "salt").agg(F.lit(1)).select("key", "salt").join(named, "key")
     return (salted.join(per_cell, ["key", "salt"])
             .select("doc_id", "key", "class_id", "class_size",
                     (F.col("class_id").isNull() | F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False))).alias("kept")))
@@ -366,11 +470,11 @@ def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     Only rows whose id may be among the dropped ones, by a Bloom filter, go to the join that
     takes them out; the rest pass straight through.
     """
+    own_id, own_key, of, maybe = unused(docs, "id", "key", "of", "maybe")
     dropped = written(classes(docs, text, doc_id, **options).filter(~F.col("kept"))
-                      .select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")), "dropped")
-    bits = bloom.build(dropped.select(F.xxhash64("__id").alias("h")), "h", dropped.count())
-    docs = without(docs, "__maybe", "__id", "__key")
-    tested = docs.withColumn("__maybe", bloom.test(docs.sparkSession, F.xxhash64(F.col(doc_id).cast("long")), bits))
-    maybe = tested.filter("__maybe").withColumn("__of", word_key(whole_text(text)))
-    stay = maybe.join(dropped, F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (F.col("__of") == F.col("__key")), "left_anti")
-    return tested.filter(~F.col("__maybe")).select(*columns(docs)).unionByName(stay.select(*columns(docs)))
+                      .select(F.col("doc_id").alias(own_id), F.col("key").alias(own_key)), "dropped")
+    bits = bloom.build(dropped.select(F.xxhash64(own_id).alias("h")), "h", dropped.count())
+    tested = docs.withColumn(maybe, bloom.test(docs.sparkSession, F.xxhash64(F.col(doc_id).cast("long")), bits))
+    asked = tested.filter(maybe).withColumn(of, word_key(whole_text(text)))
+    stay = asked.join(dropped, F.col(doc_id).cast("long").eqNullSafe(F.col(own_id)) & (F.col(of) == F.col(own_key)), "left_anti")
+    return tested.filter(~F.col(maybe)).select(*columns(docs)).unionByName(stay.select(*columns(docs)))
