@@ -117,12 +117,17 @@ def weighted(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 
 def fit(sample: list[tuple[str, int]], dimensions: int = DIMENSIONS) -> Space:
-    """The space of a sample of (text, label): the leading right singular vectors of its weighted terms."""
+    """The space of a sample of (text, label)."""
     counts = np.concatenate([terms([t for t, _ in sample[a:b]]) for a, b in blocks_of([t for t, _ in sample], 2 << 20)]
                             or [np.zeros((0, TERMS), np.float32)])
-    labels = np.array([y for _, y in sample], np.float64)
+    return fit_terms(counts, [y for _, y in sample], dimensions)
+
+
+def fit_terms(counts: np.ndarray, known: list[int], dimensions: int = DIMENSIONS) -> Space:
+    """The space of a sample's term counts and labels: the leading right singular vectors of its weighted terms."""
+    labels = np.array(known, np.float64)
     seen = (counts > 0).sum(axis=0)
-    weights = (np.log((1 + len(sample)) / (1 + seen)) + 1).astype(np.float32)
+    weights = (np.log((1 + len(counts)) / (1 + seen)) + 1).astype(np.float32)
     x = weighted(counts, weights)
     values, vectors = np.linalg.eigh((x.T @ x).astype(np.float64))
     axes = vectors[:, ::-1][:, :dimensions].astype(np.float32)
@@ -135,23 +140,31 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> list[tuple[str, int]]:
-    """At most ``per_label`` texts of each label, by the order of a hash of the id.
+@F.arrow_udf(T.BinaryType())
+def term_bytes(texts: pa.Array) -> pa.Array:
+    """The term counts of each text as single floats; a text counts whole, whatever its length."""
+    values = [t or "" for t in texts.to_pylist()]
+    return pa.array([row.tobytes() for a, b in blocks_of(values, 2 << 20) for row in terms(values[a:b]).astype(np.float32)], pa.binary())
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, text: str = "text", per_label: int = SAMPLE_PER_LABEL) -> list[tuple[bytes, int]]:
+    """(term counts, label) of at most ``per_label`` documents of each label, by the order of a hash of the id.
 
     Rows held out, and labels other than 0 and 1, are left aside; of a document's repeated labels the
-    smaller counts.
+    smaller counts, of its repeated rows the smallest text. Terms are counted by the tasks; the driver gets 8 kB a document.
     """
     known = (labels.filter(~held_out() & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
-             .groupBy(F.col("doc_id").alias("__labelled")).agg(F.min("quality").alias("__quality"))
-             .withColumn("__order", F.xxhash64("__labelled")))
+             .groupBy(F.col("doc_id").alias("labelled")).agg(F.min("quality").alias("quality"))
+             .withColumn("order", F.xxhash64("labelled")))
     picked = None
     for label in (0, 1):
-        part = known.filter(F.col("__quality") == label).orderBy("__order").limit(per_label)
+        part = known.filter(F.col("quality") == label).orderBy("order", "labelled").limit(per_label)
         picked = part if picked is None else picked.unionAll(part)
-    rows = (docs.join(F.broadcast(picked), F.col("doc_id") == F.col("__labelled"))  # 2 * per_label rows at most
-            .select("__order", "__labelled", whole_text().alias("t"), "__quality")
-            .dropDuplicates(["__labelled"]).collect())
-    return [(r.t, r[3]) for r in sorted(rows, key=lambda r: (r[0], r[1]))]
+    rows = (docs.select(F.col("doc_id"), whole_text(text).alias("t"))
+            .join(F.broadcast(picked), F.col("doc_id") == F.col("labelled"))  # 2 * per_label rows at most
+            .groupBy("order", "labelled", "quality").agg(F.min("t").alias("t"))
+            .select("order", "labelled", "quality", term_bytes("t").alias("terms")).collect())
+    return [(r.terms, r.quality) for r in sorted(rows, key=lambda r: (r.order, r.labelled))]
 
 
 def score(docs: DataFrame, labels: DataFrame, text: str = "text", per_label: int = SAMPLE_PER_LABEL,
@@ -161,25 +174,27 @@ def score(docs: DataFrame, labels: DataFrame, text: str = "text", per_label: int
     The text alone makes the score. Texts without terms (null and empty ones), and all texts when no label
     is known, get the share of label 1 in the sample (0.5 without one). Repeated rows and equal texts score alike.
     Input columns named like the results are replaced. The labelled vectors, at most 2 * ``per_label`` of
-    48 numbers, are broadcast; each document is compared with all of them.
+    48 numbers, are broadcast; each document is compared with all of them. Only texts go to the Python
+    workers and only scores come back.
     """
-    docs = without(docs, "held_out", "score", "predicted", "__text")
-    space = docs.sparkSession.sparkContext.broadcast(fit(labelled_sample(docs, labels, per_label)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            for start, stop in blocks_of(texts, 2 << 20):
-                counts = terms(texts[start:stop])
+    docs = without(docs, "held_out", "score", "predicted")
+    sample = labelled_sample(docs, labels, text, per_label)
+    counts = np.frombuffer(b"".join(t for t, _ in sample), np.float32).reshape(len(sample), TERMS)
+    space = docs.sparkSession.sparkContext.broadcast(fit_terms(counts, [y for _, y in sample]))
+
+    @F.arrow_udf(T.DoubleType())
+    def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            values, parts = batch.to_pylist(), []
+            for start, stop in blocks_of(values, 2 << 20):
+                counts = terms(values[start:stop])
                 latent = space.value.latent(counts)
-                latent[[i for i, t in enumerate(texts[start:stop]) if not t]] = 0
-                scores = space.value.vote(latent, neighbours)
-                yield pa.RecordBatch.from_arrays([c.slice(start, stop - start) for c in batch.columns[:-1]]
-                                                 + [pa.array(scores, pa.float64())], names=batch.schema.names[:-1] + ["score"])
-
-    schema = T.StructType(list(docs.schema.fields)).add("score", "double")
-    scored = docs.select(*columns(docs), whole_text(text).alias("__text")).mapInArrow(run, schema)
-    return (scored.withColumn("held_out", held_out())
+                latent[[i for i, t in enumerate(values[start:stop]) if not t]] = 0
+                parts.append(space.value.vote(latent, neighbours))
+            yield pa.array(np.concatenate([np.zeros(0), *parts]), pa.float64())
+
+    # Not deterministic to the optimizer, which would else call it once more for a filter on the result.
+    return (docs.withColumn("score", scored.asNondeterministic()(whole_text(text))).withColumn("held_out", held_out())
             .withColumn("predicted", (F.col("score") >= accept).cast("int")))
 
 
