@@ -188,3 +188,24 @@ def test_pipeline_stages(spark, tmp_path):
         if n < 3:
             assert kept.subtract(before).isEmpty() and kept.count() <= before.count()
     assert kept.count() == before.count() == corpus_pipeline.run(spark, folder).count()
+
+
+def test_long_hosts_and_lists_of_many_lengths(spark):
+    """A host of 20,000 labels gets its verdict, and the lengths of one host's rules say nothing about another's."""
+    long_host = ".".join(["a"] * 20_000)
+    listed = [("com", "/", "allow"), ("a.net", "/x", "block")] + [("many.org", "/" + "p" * n, "block" if n % 2 else "allow") for n in range(10_000)]
+    rules = spark.createDataFrame(listed, "rule_host string, rule_path string, verdict string")
+    pages = [(1, f"http://{long_host}.net/x"), (2, f"http://{long_host}.com/" + "q" * 50_000), (3, "http://many.org/" + "p" * 9_000 + "z"),
+             (4, "http://www.many.org/pp"), (5, "http://other.org/ppp"), (6, f"http://{long_host}.org/")]
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string"), rules).collect()}
+    assert got == {1: ("a.net/x", "block"), 2: ("com/", "allow"), 3: ("many.org/" + "p" * 9_000, "allow"), 4: ("many.org/pp", "allow"),
+                   5: (None, "allow"), 6: (None, "allow")}
+
+
+def test_a_small_filter_gives_the_same_verdicts(spark):
+    pages = spark.createDataFrame([(i, f"http://h{i % 50}.example.com/p{i}") for i in range(300)], "page_id long, url string")
+    rules = spark.createDataFrame([(f"h{i}.example.com", f"/p{i}", "block") for i in range(40)], "rule_host string, rule_path string, verdict string")
+
+    def verdicts(**options):
+        return sorted((r.page_id, r.rule, r.verdict) for r in urls.judge(pages, rules, **options).collect())
+    assert verdicts(most_bytes=1) == verdicts() and sum(v == "block" for _, _, v in verdicts()) > 40
