@@ -43,6 +43,11 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named by number: Spark looks those that go to workers up by name, which fails for dots."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
 def new_folder(spark: SparkSession, kind: str) -> str:
     """A fresh folder name under the shared folder; Spark's committing writers create it."""
     return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from retailflow.llm.common import WORD, columns, whole_text, written
+from retailflow.llm.common import WORD, columns, unused, whole_text, written
 
 #: Words of a block, blocks of an output shard.
 BLOCK_WORDS = 128
@@ -19,7 +20,7 @@ SHARD_BLOCKS = 4096
 RUN_DOCS = 4096
 #: Sources that a mix may have; its plan is a table of one row a source.
 MOST_SOURCES = 100_000
-#: numpy draws hypergeometric counts exactly below this many slots.
+#: numpy draws hypergeometric counts below this many slots; above, :func:`hypergeometric` draws them itself.
 EXACT_SLOTS = 1_000_000_000
 
 
@@ -49,18 +50,47 @@ def share_out(sizes: list[int], weights: list[float], total: float, most: float)
     return targets
 
 
+def hypergeometric(random: np.random.Generator, good: int, bad: int, taken: int) -> int:
+    """How many of ``taken`` draws without putting back are good, at any size: rejection from a table mountain hat.
+
+    The hat is that of the ratio of uniforms method for unimodal discrete distributions.
+    """
+    if not good or not bad or not taken or taken == good + bad:
+        return min(good, taken)
+    if good + bad < EXACT_SLOTS:
+        return int(random.hypergeometric(good, bad, taken))
+    whole = good + bad
+    low, high = max(0, taken - bad), min(good, taken)
+    mean = taken * (good / whole)
+    spread = math.sqrt(mean * (bad / whole) * ((whole - taken) / (whole - 1)) + 0.5)
+    width = 2 * math.sqrt(2 / math.e) * spread + 3 - 2 * math.sqrt(3 / math.e)
+    mode = (taken + 1) * (good + 1) // (whole + 2)
+
+    def ratio(k: int) -> float:
+        """Logarithm of the chance of k over that of the mode."""
+        parts = ((mode, k), (good - mode, good - k), (taken - mode, taken - k), (bad - taken + mode, bad - taken + k))
+        return sum(math.lgamma(a + 1) - math.lgamma(b + 1) for a, b in parts)
+
+    while True:
+        u, v = 1 - random.random(), random.random()
+        k = math.floor(mean + 0.5 + width * (v - 0.5) / u)
+        if low <= k <= high and 2 * math.log(u) <= ratio(k):
+            return k
+
+
 def split_counts(counts: np.ndarray, left: int, seed: tuple[int, ...]) -> np.ndarray:
     """How many of each source's slots fall among the first ``left`` of them all, by chance."""
     total = int(counts.sum())
     if left <= 0 or left >= total:
         return counts if left >= total else np.zeros_like(counts)
+    random = np.random.Generator(np.random.Philox(seed=np.random.SeedSequence(seed)))
     if total < EXACT_SLOTS:
-        return np.random.Generator(np.random.Philox(seed=np.random.SeedSequence(seed))).multivariate_hypergeometric(
-            counts, left, method="marginals").astype(np.int64)
-    # Beyond numpy's range chance moves a share by less than 0.01 %; the expected counts serve.
-    share = counts * (left / total)
-    out = np.floor(share).astype(np.int64)
-    out[np.argsort(out - share, kind="stable")[:left - int(out.sum())]] += 1
+        return random.multivariate_hypergeometric(counts, left, method="marginals").astype(np.int64)
+    out = np.zeros_like(counts)
+    for i, own in enumerate(counts.tolist()):
+        total -= own
+        out[i] = drawn = hypergeometric(random, own, total, left)
+        left -= drawn
     return out
 
 
@@ -248,23 +278,25 @@ def mix_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", s
     them, have no row. Repeated rows share their draws as in :func:`mix_counts`.
     """
     _, plan, pieces = _drawn(docs, text, doc_id, source, block_words, seed, **plan_options)
+    (own_id, own_hash, own_of, own_size, own_spans, own_times, own_row, own_source, own_number, own_pass, own_words, own_split) = unused(
+        docs, "id", "hash", "of", "size", "spans", "times", "row", "source", "number", "pass", "words", "split")
     span = F.struct("first", (F.col("first") + F.col("words")).alias("end"), "times")
-    taken = pieces.groupBy(F.col("doc_id").alias("__id"), F.col("row").alias("__hash"), F.col("number").alias("__of"),
-                           F.col("size").alias("__size")).agg(
-        F.array_sort(F.collect_list(span)).alias("__spans"), F.max("times").alias("__times"))
-    numbers = F.broadcast(plan.select(F.col("source").alias("__source"), F.col("number").alias("__number")))
-    joined = (docs.withColumn("__row", F.xxhash64(whole_text(text)))
-              .join(numbers, F.col(source).eqNullSafe(F.col("__source")))
-              .join(taken, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__hash"))
-                    & (F.col("__number") == F.col("__of")))
-              .withColumn("__pass", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times"))))
-              .withColumn("__spans", F.filter("__spans", lambda s: s["times"] >= F.col("__pass")))
-              .withColumn("__words", F.aggregate("__spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"])))
+    taken = pieces.groupBy(F.col("doc_id").alias(own_id), F.col("row").alias(own_hash), F.col("number").alias(own_of),
+                           F.col("size").alias(own_size)).agg(
+        F.array_sort(F.collect_list(span)).alias(own_spans), F.max("times").alias(own_times))
+    numbers = F.broadcast(plan.select(F.col("source").alias(own_source), F.col("number").alias(own_number)))
+    joined = (docs.withColumn(own_row, F.xxhash64(whole_text(text)))
+              .join(numbers, F.col(source).eqNullSafe(F.col(own_source)))
+              .join(taken, F.col(doc_id).eqNullSafe(F.col(own_id)) & (F.col(own_row) == F.col(own_hash))
+                    & (F.col(own_number) == F.col(own_of)))
+              .withColumn(own_pass, F.explode(F.sequence(F.lit(1).cast("long"), F.col(own_times))))
+              .withColumn(own_spans, F.filter(own_spans, lambda s: s["times"] >= F.col(own_pass)))
+              .withColumn(own_words, F.aggregate(own_spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"])))
     words = F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    picked = F.array_join(F.flatten(F.transform(F.col("__spans"), lambda s: F.slice(
-        F.col("__split"), s["first"].cast("int") + 1, (s["end"] - s["first"]).cast("int")))), "")
-    whole = F.col("__words") == F.col("__size")
-    out = (joined.withColumn("__split", F.when(~whole, words))
+    picked = F.array_join(F.flatten(F.transform(F.col(own_spans), lambda s: F.slice(
+        F.col(own_split), s["first"].cast("int") + 1, (s["end"] - s["first"]).cast("int")))), "")
+    whole = F.col(own_words) == F.col(own_size)
+    out = (joined.withColumn(own_split, F.when(~whole, words))
            .withColumn(text, F.when(whole, F.col(text)).otherwise(picked)))
     for name in (c for c in docs.columns if c.lower() == "n_chars"):
         out = out.withColumn(name, F.length(text).cast(docs.schema[name].dataType))

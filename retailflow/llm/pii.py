@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from retailflow.llm.common import columns, whole_text, without, written
+from retailflow.llm.common import columns, numbered, unused, whole_text, without, written
 from retailflow.llm.pieces import blocks_of
 
 KINDS = ("email", "ip", "card", "phone")
@@ -474,7 +474,8 @@ def find(docs: DataFrame, text: str = "text", trees: Trees | None = None) -> Dat
     Null counts as empty and has no spans. ``trees`` come from :func:`train`; without them only base spans
     are found. Repeated rows have equal spans. An input column named ``spans`` is replaced.
     """
-    docs = without(docs, "spans", "__text")
+    docs = without(docs, "spans")
+    (own_text,) = unused(docs, "text")
     shared = docs.sparkSession.sparkContext.broadcast(trees)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_()),
                                ("probability", pa.float64())]))
@@ -486,10 +487,10 @@ def find(docs: DataFrame, text: str = "text", trees: Trees | None = None) -> Dat
             for start, stop in blocks_of(texts):
                 spans = [[dict(zip(names, s)) for s in select(t, shared.value)] for t in texts[start:stop]]
                 yield pa.RecordBatch.from_arrays([c.slice(start, stop - start) for c in batch.columns[:-1]]
-                                                 + [pa.array(spans, kind)], names=batch.schema.names[:-1] + ["spans"])
+                                                 + [pa.array(spans, kind)], names=schema.fieldNames())
 
     schema = T.StructType(list(docs.schema.fields)).add("spans", T.StructType.fromDDL(f"spans {SPANS}")["spans"].dataType)
-    return docs.select(*columns(docs), whole_text(text).alias("__text")).mapInArrow(run, schema)
+    return numbered(docs.select(*columns(docs), whole_text(text).alias(own_text))).mapInArrow(run, schema)
 
 
 def redact(docs: DataFrame, text: str = "text", trees: Trees | None = None) -> DataFrame:

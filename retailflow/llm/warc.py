@@ -22,7 +22,7 @@ from pyspark.sql.datasource import (
     StringStartsWith,
 )
 
-from retailflow.llm.common import columns, data_files, file_system, new_folder, salted_totals, salts, without
+from retailflow.llm.common import columns, data_files, file_system, new_folder, salted_totals, salts, unused, without
 
 #: Payloads of at least so many bytes may become revisits.
 LEAST_REVISIT_BYTES = 1000
@@ -49,18 +49,19 @@ def mark_revisits(pages: DataFrame, page_id: str = "page_id", html: str = "html"
     responses. Repeated rows of the largest id are all responses. Shorter payloads, null ones
     included, are responses.
     """
-    pages = without(pages, "payload_bytes", "payload_digest", "record_type", "refers_to", "__salt", "__id")
+    pages = without(pages, "payload_bytes", "payload_digest", "record_type", "refers_to")
+    own_id, salt, keep = unused(pages, "id", "salt", "keep")
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
     rows = (pages.withColumn("payload_bytes", F.length(payload).cast("long"))
             .withColumn("payload_digest", F.sha1(payload))
-            .withColumn("__id", F.col(page_id).cast("long")))
+            .withColumn(own_id, F.col(page_id).cast("long")))
     short, long = (rows.filter(F.col("payload_bytes") < least_bytes), rows.filter(F.col("payload_bytes") >= least_bytes))
-    long = long.withColumn("__salt", F.pmod(F.xxhash64(F.col("__id")), F.lit(salts(pages.count()))))
-    totals = salted_totals(long, "payload_digest", page_id, "__salt", ("__keep", F.max("__id"), F.max("__keep")))
-    revisit = F.col("__keep").isNotNull() & ~F.col("__id").eqNullSafe(F.col("__keep"))
-    long = (long.join(totals, ["payload_digest", "__salt"])
+    long = long.withColumn(salt, F.pmod(F.xxhash64(F.col(own_id)), F.lit(salts(pages.count()))))
+    totals = salted_totals(long, "payload_digest", page_id, salt, (keep, F.max(own_id), F.max(keep)))
+    revisit = F.col(keep).isNotNull() & ~F.col(own_id).eqNullSafe(F.col(keep))
+    long = (long.join(totals, ["payload_digest", salt])
             .withColumn("record_type", F.when(revisit, "revisit").otherwise("response"))
-            .withColumn("refers_to", F.when(revisit, F.col("__keep"))))
+            .withColumn("refers_to", F.when(revisit, F.col(keep))))
     short = short.withColumn("record_type", F.lit("response")).withColumn("refers_to", F.lit(None).cast("long"))
     results = columns(pages, "payload_bytes", "payload_digest", "record_type", "refers_to")
     return short.select(*results).unionByName(long.select(*results))
