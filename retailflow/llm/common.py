@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import math
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +34,25 @@ def columns(df: DataFrame, *others: str) -> list[Column]:
     return [F.col("`" + c.replace("`", "``") + "`") for c in (*df.columns, *others)]
 
 
+def release() -> None:
+    """Give the memory that a task has freed back to the system: its worker lives on beside those of the next stages,
+    and allocators keep what they were given."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function on batches that releases memory when its task's input has ended."""
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+    return tidied
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """Names for columns that an operator adds for itself: none that ``df`` has, whatever its case."""
     taken = {c.lower() for c in df.columns}

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from retailflow.llm import bloom
-from retailflow.llm.common import columns, discard, salted_totals, salts, unused, whole_text, written
+from retailflow.llm.common import columns, discard, release, salted_totals, salts, tidy, unused, whole_text, written
 from retailflow.llm.pieces import blocks_of
 
 #: Words of a shingle and the similarity from which texts are linked.
@@ -156,7 +156,7 @@ def band_hashes(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
     for batch in batches:
         texts = batch.column(1).to_pylist()
-        for start, stop in blocks_of(texts, 2 << 20):
+        for start, stop in blocks_of(texts, 1 << 20):
             yield batch.column(0).slice(start, stop - start), texts[start:stop]
 
 
@@ -179,7 +179,7 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [ids, _keys(keys), pa.array(counts, pa.int64()), _lists(hashes[counts > 0].ravel(), np.where(counts > 0, bands, 0))],
                 names=["doc_id", "key", "size", "bands"])
-    return docs.mapInArrow(run, "doc_id long, key binary, size long, bands array<long>")
+    return docs.mapInArrow(tidy(run), "doc_id long, key binary, size long, bands array<long>")
 
 
 def element_sets(docs: DataFrame, wanted: bytes) -> DataFrame:
@@ -192,7 +192,7 @@ def element_sets(docs: DataFrame, wanted: bytes) -> DataFrame:
             take = bloom.contains(shared.value, keys[:, 0].view(np.int64))
             flat = elems[np.repeat(take, counts)]
             yield pa.RecordBatch.from_arrays([_keys(keys[take]), _lists(flat, counts[take])], names=["key", "elements"])
-    return docs.mapInArrow(run, "key binary, elements array<long>").groupBy("key").agg(F.first("elements").alias("elements"))
+    return docs.mapInArrow(tidy(run), "key binary, elements array<long>").groupBy("key").agg(F.first("elements").alias("elements"))
 
 
 @F.arrow_udf(T.LongType())
@@ -284,6 +284,8 @@ def _compared(similarity: float):
             near = common / (counts[a] + counts[b] - common) >= similarity
             a, b = a[near], b[near]
         found = spanning(a, b, roots)
+        if len(elems) >= CELL_ELEMENTS // 4:
+            release()
         return pa.table({"a": pa.array([keys[i] for i, _ in found], pa.binary()), "b": pa.array([keys[j] for _, j in found], pa.binary())})
     return run
 
@@ -460,7 +462,7 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar
 def word_key(texts: pa.Array) -> pa.Array:
     """The key of each text's word sequence."""
     values = texts.to_pylist()
-    parts = [_keys(elements(values[start:stop])[2]) for start, stop in blocks_of(values, 2 << 20)]
+    parts = [_keys(elements(values[start:stop])[2]) for start, stop in blocks_of(values, 1 << 20)]
     return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
 
 

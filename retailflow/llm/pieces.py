@@ -8,14 +8,14 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from retailflow.llm.common import columns, whole_text, without
+from retailflow.llm.common import numbered, tidy, without
 
-#: Chunks a task's table holds before it starts anew.
-TABLE_CHUNKS = 300_000
+#: Chunks a task's table holds before it starts anew, and their characters.
+TABLE_CHUNKS, TABLE_CHARS = 300_000, 8 << 20
 #: Characters of the texts that are put through the table together.
 BLOCK_CHARS = 2 << 20
 MARK = "▁"
@@ -47,6 +47,7 @@ class ChunkTable:
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
+        self.chars = 0
         self.ids, self.offsets = np.zeros(0, np.int32), np.zeros(1, np.int64)
         self.decoded: list[str] = []
         self.altered = np.zeros(0, bool)
@@ -59,6 +60,7 @@ class ChunkTable:
         # Where a chunk decodes to itself, as nearly all do, its text is kept once.
         decoded = [c if c == " " or c[1:] == t else " " + t for c, t in zip(chunks, self.library.decode(ids))]
         first = len(self.index)
+        self.chars += sum(map(len, chunks))
         self.index.update(zip(chunks, range(first, first + len(chunks))))
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), np.int32, int(lengths.sum()))])
@@ -67,7 +69,7 @@ class ChunkTable:
         self.altered = np.concatenate([self.altered, np.array([c != d for c, d in zip(chunks, decoded)], bool)])
 
     def codes(self, texts: list[list[str]]) -> np.ndarray:
-        if len(self.index) > self.most:
+        if len(self.index) > self.most or self.chars > TABLE_CHARS:
             self.clear()
         flat = list(chain.from_iterable(texts))
         missing = list(dict.fromkeys(c for c in flat if c not in self.index))
@@ -108,7 +110,7 @@ def encode_block(table: ChunkTable, texts: list[str], end_id: int | None) -> tup
     return ids, offsets, decoded
 
 
-#: One table per process and model: tasks that follow each other on a worker share it.
+#: One table per process and model, for callers whose tasks are short: those that follow each other on a worker share it.
 _TABLES: dict[tuple, ChunkTable] = {}
 
 
@@ -130,38 +132,50 @@ def blocks_of(texts: list[str], most_chars: int = BLOCK_CHARS) -> Iterator[tuple
         yield start, len(texts)
 
 
+def blocks_of_array(texts: pa.Array, most_bytes: int = BLOCK_CHARS) -> Iterator[tuple[int, int]]:
+    """Slices of at most so many bytes, or one text, without making Python strings of all."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+    start = 0
+    while start < len(ends):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most_bytes, side="right")))
+        yield start, stop
+        start = stop
+
+
 def encode(docs: DataFrame, model_file: str, text: str = "text", add_end: bool = True, decoded: bool = True,
-           table_chunks: int = TABLE_CHUNKS) -> DataFrame:
+           table_chunks: int = TABLE_CHUNKS, keep_text: bool = True) -> DataFrame:
     """``docs`` with ``ids`` (array<int>) and ``decoded``, the text that the ids stand for.
 
     Ids are those of the library for the whole text, with an end id last if ``add_end``. Null
     counts as empty; an empty text has only the end id and decodes to an empty text. Input
-    columns named like the results are replaced, others pass through, repeated rows are kept.
-
-    The table is local to a worker: it fills from the texts met there, each distinct chunk being
-    segmented once, and starts anew beyond ``table_chunks``. Ids come back to their
-    places by position. Nothing shuffles: a table for the whole corpus would need a join of
-    every word's position. ``model_file`` must exist on each executor.
+    columns named like the results are replaced, others pass through, repeated rows are kept;
+    without ``keep_text`` the text itself doesn't come back from the workers.
+
+    The table is local to a task: it fills from the texts met there, each distinct chunk being
+    segmented once, and starts anew beyond ``table_chunks`` chunks or 8 million characters, so long runs without a
+    space don't swell it. Ids come back to their places by position. Nothing shuffles: a table for the whole
+    corpus would need a join of every word's position. A worker holds one batch of texts and makes strings and ids of 2 MB
+    of it at a time. ``model_file`` must exist on each executor.
     """
-    docs = without(docs, "ids", "decoded", "__text")
-    kept = docs.withColumn("__text", whole_text(text))
+    docs = without(docs, "ids", "decoded")
+    at = docs.columns.index(text) if text in docs.columns else [c.lower() for c in docs.columns].index(text.lower())
+    kept = [i for i in range(len(docs.columns)) if keep_text or i != at]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared_table(model_file, table_chunks)
+        table = ChunkTable(model_file, table_chunks)
         end_id = table.library.eos_id() if add_end else None
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            for start, stop in blocks_of(texts):
-                ids, offsets, back = encode_block(table, texts[start:stop], end_id)
-                arrays = [c.slice(start, stop - start) for c in batch.columns[:-1]]
+            for start, stop in blocks_of_array(batch.column(at)):
+                part = batch.slice(start, stop - start)
+                ids, offsets, back = encode_block(table, [t or "" for t in part.column(at).to_pylist()], end_id)
+                arrays = [part.column(i) for i in kept]
                 arrays.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32())))
-                names = batch.schema.names[:-1] + ["ids"]
                 if decoded:
                     arrays.append(pa.array(back, pa.string()))
-                    names.append("decoded")
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    schema = T.StructType(list(docs.schema.fields)).add("ids", T.ArrayType(T.IntegerType()))
+    schema = T.StructType([docs.schema.fields[i] for i in kept]).add("ids", T.ArrayType(T.IntegerType()))
     if decoded:
         schema = schema.add("decoded", "string")
-    return kept.select(*columns(docs), F.col("__text")).mapInArrow(run, schema)
+    names = schema.fieldNames()
+    return numbered(docs).mapInArrow(tidy(run), schema)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from retailflow.llm.common import columns, numbered, unused, whole_text, without, written
+from retailflow.llm.common import columns, numbered, tidy, unused, whole_text, without, written
 from retailflow.llm.pieces import blocks_of
 
 KINDS = ("email", "ip", "card", "phone")
@@ -490,7 +490,7 @@ def find(docs: DataFrame, text: str = "text", trees: Trees | None = None) -> Dat
                                                  + [pa.array(spans, kind)], names=schema.fieldNames())
 
     schema = T.StructType(list(docs.schema.fields)).add("spans", T.StructType.fromDDL(f"spans {SPANS}")["spans"].dataType)
-    return numbered(docs.select(*columns(docs), whole_text(text).alias(own_text))).mapInArrow(run, schema)
+    return numbered(docs.select(*columns(docs), whole_text(text).alias(own_text))).mapInArrow(tidy(run), schema)
 
 
 def redact(docs: DataFrame, text: str = "text", trees: Trees | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from retailflow.llm.common import columns, whole_text, without
+from retailflow.llm.common import tidy, whole_text, without
 from retailflow.llm.near import mix, word_hashes
 from retailflow.llm.pieces import blocks_of
 
@@ -144,7 +144,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def term_bytes(texts: pa.Array) -> pa.Array:
     """The term counts of each text as single floats; a text counts whole, whatever its length."""
     values = [t or "" for t in texts.to_pylist()]
-    return pa.array([row.tobytes() for a, b in blocks_of(values, 2 << 20) for row in terms(values[a:b]).astype(np.float32)], pa.binary())
+    return pa.array([row.tobytes() for a, b in blocks_of(values, 1 << 20) for row in terms(values[a:b]).astype(np.float32)], pa.binary())
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, text: str = "text", per_label: int = SAMPLE_PER_LABEL) -> list[tuple[bytes, int]]:
@@ -182,17 +182,20 @@ def score(docs: DataFrame, labels: DataFrame, text: str = "text", per_label: int
     counts = np.frombuffer(b"".join(t for t, _ in sample), np.float32).reshape(len(sample), TERMS)
     space = docs.sparkSession.sparkContext.broadcast(fit_terms(counts, [y for _, y in sample]))
 
-    @F.arrow_udf(T.DoubleType())
-    def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
             values, parts = batch.to_pylist(), []
-            for start, stop in blocks_of(values, 2 << 20):
+            for start, stop in blocks_of(values, 1 << 20):
                 counts = terms(values[start:stop])
                 latent = space.value.latent(counts)
                 latent[[i for i, t in enumerate(values[start:stop]) if not t]] = 0
                 parts.append(space.value.vote(latent, neighbours))
             yield pa.array(np.concatenate([np.zeros(0), *parts]), pa.float64())
 
+    @F.arrow_udf(T.DoubleType())
+    def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from tidy(run)(texts)
+
     # Not deterministic to the optimizer, which would else call it once more for a filter on the result.
     return (docs.withColumn("score", scored.asNondeterministic()(whole_text(text))).withColumn("held_out", held_out())
             .withColumn("predicted", (F.col("score") >= accept).cast("int")))
