@@ -402,6 +402,8 @@ BODIES: dict[str, str] = {
     "inventory_metrics": "select * from t_inventory",
     "stream_sales_by_country": "select * from t_country",
     "stream_dedup_sales": "select * from t_country",
+    "stream_progress": """select 'sales_by_country' as job, 1::bigint as batches, count(*) as input_rows, 0::bigint as late_rows from orders
+      union all select 'cart_sessions', 1, count(*), 0 from events""",
     "sink_manifest": """select event_id, event_type, user_id, session_id, product_id, "timestamp" as event_timestamp,
       quantity, cart_value, country from fx_carts""",
     "customers_incremental": "select * from d_incoming",

@@ -21,6 +21,7 @@ from retailflow.sources.fixtures import REGION_ROWS, RetailTables
 from retailflow.session import shared_folder
 from retailflow.sources.streams import file_stream, with_event_time
 from retailflow.streaming.managed import ManagedTable
+from retailflow.streaming import progress, sinks
 from retailflow.streaming.replay import replay
 
 #: Parameters under which every label and filter of the operators has rows on these tables.
@@ -264,12 +265,12 @@ def _scd2_delta(w: Workload) -> DataFrame:
 def _fact_repair(w: Workload) -> DataFrame:
     """Sales facts loaded while later customers were unknown, after the pass that gives those facts their customer."""
     path = _fresh(w, "facts")
-    warehouse.load_facts(w.spark, path, w.fact_sales)
+    sinks.append(w.fact_sales.withColumn("month_id", F.floor(F.col("date_id") / 100).cast("int")), path, "month_id")
     versions = w.customer_history.withColumn("customer_id", dimensions.surrogate("user_id"))
     events = w.sales.select(F.col("line_item_id").alias("event_id"), "user_id")
-    repair_facts(w.spark, path, events, [Lookup(versions, "user_id", "customer_id")], "transaction_timestamp")
+    repair_facts(w.spark, path, events, [Lookup(versions, "user_id", "customer_id")], "transaction_timestamp", partition="month_id")
     star = w.star
-    return (w.spark.read.schema(w.fact_sales.schema).parquet(path)
+    return (w.spark.read.parquet(path).drop("month_id")
             .join(versions.select("customer_id", "user_id"), "customer_id", "left")
             .join(star.products.select("product_id_pk", "product_id"), "product_id_pk", "left")
             .join(star.geography.select("geography_id", "country"), "geography_id", "left")
@@ -283,6 +284,17 @@ def _stream_dedup(w: Workload) -> DataFrame:
     return replay(windows.sales_by_country(once, REALTIME), "complete")
 
 
+def _stream_progress(w: Workload) -> DataFrame:
+    """What two streams say of themselves after they have used up their input: measured rows, none of them late."""
+    log = progress.ProgressLog(w.spark, _fresh(w, "progress"))
+    for job, table, op in (("sales_by_country", "orders", lambda s: windows.sales_by_country(_timed(s.transactions), REALTIME)),
+                           ("cart_sessions", "events", lambda s: windows.cart_sessions(_timed(s.carts), REALTIME))):
+        replay(op(Workload(w.spark, w.data.folder, frozenset({table}))), "complete", log=log, job=job)
+    rows = log.read()
+    measured = progress.batch_latency(rows).groupBy("job").agg(F.min("avg_seconds").alias("least"))
+    return progress.totals(rows).join(measured.filter("least > 0"), "job").select("job", "batches", "input_rows", "late_rows")
+
+
 def _distinct_rollup(w: Workload) -> DataFrame:
     """Distinct users and products per month and category from sketches of daily windows."""
     daily = sketches.view_sketches(w.views, REALTIME.categories)
@@ -397,6 +409,7 @@ QUERIES: dict[str, Callable[[Workload], DataFrame]] = {
     "stream_cart_sessions": _stream(lambda w: windows.cart_sessions(_timed(w.carts), REALTIME), "events"),
     "stream_product_velocity": _stream_velocity,
     "stream_dedup_sales": _stream_dedup,
+    "stream_progress": _stream_progress,
     # validation
     "validate_transactions": lambda w: _shown(_validated(
         w.data.basket_messages(), quality.transaction_rules(WORDS))),

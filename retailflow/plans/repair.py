@@ -34,17 +34,16 @@ def valid_or_first(events: DataFrame, by: Lookup, ts: str) -> DataFrame:
 
 
 def repair_facts(spark: SparkSession, path: str, events: DataFrame, lookups: list[Lookup], ts: str,
-                 key: str = "event_id") -> int:
-    """Fill NULL surrogates of a stored fact table; returns the number of days that were rewritten.
+                 key: str = "event_id", partition: str = "date_id") -> int:
+    """Fill NULL surrogates of a stored fact table; returns the number of its partitions that were rewritten.
 
     ``events`` are the loaded events with ``key`` and the natural keys; facts hold none. Only facts with a NULL
-    surrogate whose member is known by now are looked up, and only their days are rewritten: the table is partitioned by
-    ``date_id``. Surrogates that are there stay. Facts without a day can't be told apart by it and are one
-    day of their own. An event without its natural key keeps its NULL.
+    surrogate whose member is known by now are looked up, and only their days (or months: whatever the table is partitioned
+    by) are rewritten. Surrogates that are there stay. Facts without a day are a partition of their own. An event without its natural key keeps its NULL.
     """
     facts = spark.read.parquet(path)
     missing = " or ".join(f"{by.surrogate} is null" for by in lookups)
-    open_ = facts.filter(missing).select(F.col(key).alias("_fact"), F.col("date_id"), F.col(ts),
+    open_ = facts.filter(missing).select(F.col(key).alias("_fact"), F.col(partition), F.col(ts),
                                          *(F.col(by.surrogate).alias(f"_{by.surrogate}") for by in lookups))
     naturals = events.select(F.col(key).alias("_event"), *(by.natural for by in lookups)).dropDuplicates(["_event"])
     found = open_.join(naturals, F.col("_fact") == F.col("_event"))
@@ -52,14 +51,14 @@ def repair_facts(spark: SparkSession, path: str, events: DataFrame, lookups: lis
         found = valid_or_first(found, by, ts)
     fillable = " or ".join(f"(_{by.surrogate} is null and {by.surrogate} is not null)" for by in lookups)
     fixed = sinks.cut(found.filter(fillable).select(
-        "_fact", "date_id", *(F.coalesce(f"_{by.surrogate}", by.surrogate).alias(f"_new_{by.surrogate}") for by in lookups)))
-    days = [r.date_id for r in fixed.select("date_id").distinct().collect()]  # a number a day
+        "_fact", partition, *(F.coalesce(f"_{by.surrogate}", by.surrogate).alias(f"_new_{by.surrogate}") for by in lookups)))
+    days = [r[0] for r in fixed.select(partition).distinct().collect()]  # a number a day
     if not days:
         return 0
-    touched = facts.filter(F.col("date_id").isin([d for d in days if d is not None])
-                           | (F.col("date_id").isNull() if None in days else F.lit(False)))
+    touched = facts.filter(F.col(partition).isin([d for d in days if d is not None])
+                           | (F.col(partition).isNull() if None in days else F.lit(False)))
     replaced = {by.surrogate: F.coalesce(by.surrogate, f"_new_{by.surrogate}") for by in lookups}
-    repaired = touched.join(fixed.drop("date_id"), F.col(key) == F.col("_fact"), "left").withColumns(replaced).select(*facts.columns)
-    # The days are read and replaced, so they are materialised first.
-    sinks.replace_partitions(sinks.cut(repaired), path, "date_id")
+    repaired = touched.join(fixed.drop(partition), F.col(key) == F.col("_fact"), "left").withColumns(replaced).select(*facts.columns)
+    # The days are read and replaced, so they are materialised first; rebalanced, a day is one file or a few, not one a task.
+    sinks.replace_partitions(sinks.cut(repaired).hint("rebalance", partition), path, partition)
     return len(days)
