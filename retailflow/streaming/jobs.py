@@ -27,8 +27,8 @@ class Job:
     alerts: bool = False
     #: Whether the job keeps each event of its topic; undecodable text goes to its quarantine.
     raw: bool = False
-    #: Whether a repeated event is counted once. Rows behind the watermark go with it, so jobs that keep late
-    #: rows don't do it; their ids make repeats harmless.
+    #: Whether repeated events may be dropped on request. Rows behind the watermark go with them, so jobs that keep
+    #: late rows don't do it; their ids make repeats harmless.
     once: bool = True
 
 
@@ -76,17 +76,17 @@ def jobs(cfg: Realtime = REALTIME) -> dict[str, Job]:
     return {job.table: job for job in table}
 
 
-def output(messages: DataFrame, job: Job) -> DataFrame:
+def output(messages: DataFrame, job: Job, drop_repeats: bool = False) -> DataFrame:
     """Messages of the job's topic to its output rows, event time declared once."""
-    return built(ingest.decode(messages, schemas.TOPICS[job.topic]), job)
+    return built(ingest.decode(messages, schemas.TOPICS[job.topic]), job, drop_repeats)
 
 
-def built(decoded: DataFrame, job: Job) -> DataFrame:
-    """Output rows of decoded events."""
+def built(decoded: DataFrame, job: Job, drop_repeats: bool = False) -> DataFrame:
+    """Output rows of decoded events; with ``drop_repeats`` an event that comes again counts once."""
     events = ingest.events_of(job.topic, decoded)
     if job.lateness:
         events = with_event_time(events, "timestamp", job.lateness)
-        if job.once:
+        if drop_repeats and job.once:
             events = ingest.first_occurrences(events, EVENT_IDS[job.topic])
     return ingest.stamped(job.build(events), *job.clock)
 
@@ -98,13 +98,14 @@ TableWriter = Callable[[str], sinks.BatchWriter]
 def run(spark: SparkSession, source: Callable[[str], DataFrame], root: str,
         tables: list[str] | None = None, cfg: Realtime = REALTIME, available_now: bool = False,
         alert_writer: sinks.BatchWriter | None = None,
-        table_writer: TableWriter | None = None) -> dict[str, StreamingQuery]:
+        table_writer: TableWriter | None = None, drop_repeats: bool = False) -> dict[str, StreamingQuery]:
     """Start the selected jobs in one session; Spark runs each as its own query.
 
     ``source(topic)`` gives the message stream, ``root`` holds tables and checkpoints.
     ``table_writer(name)`` chooses another sink, such as ``sinks.jdbc_batches`` of a database
     or ``sinks.console_batches``. The job of a raw table also writes the text it can't decode,
-    in the same micro-batch, so its table and quarantine together hold the whole topic.
+    in the same micro-batch, so its table and quarantine together hold the whole topic. ``drop_repeats`` costs
+    the windowed jobs a second state, of the ids within the watermark.
     """
     chosen = jobs(cfg)
     to_table = table_writer or (lambda table: sinks.parquet_batches(f"{root}/tables/{table}"))
@@ -120,7 +121,7 @@ def run(spark: SparkSession, source: Callable[[str], DataFrame], root: str,
             stream = output(source(job.topic), job)
             writer = sinks.with_alerts(to_table(name), alert_writer or sinks.file_alerts(f"{root}/tables/alerts/{name}"))
         else:
-            stream, writer = output(source(job.topic), job), sinks.each_batch(to_table(name))
+            stream, writer = output(source(job.topic), job, drop_repeats), sinks.each_batch(to_table(name))
         started[name] = sinks.start(stream, writer, f"{root}/checkpoints/{name}",
                                     name=name, every=job.every, available_now=available_now)
     return started
