@@ -247,6 +247,20 @@ def test_distinct_counts_of_merged_windows(spark):
     assert month[0].avg_product_price == 2.5
 
 
+
+def test_rolled_up_members_are_counted_exactly(spark):
+    n = 20000
+    views = spark.range(2 * n).select(
+        F.lit("view").alias("event_type"), (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(hours=(F.col("id") % 600).cast("int"))).alias("timestamp"),
+        F.when(F.col("id") > 0, F.lit("A")).alias("category"), F.lit("UK").alias("country"), F.col("id").cast("string").alias("nr"),
+        F.when(F.col("id") != 5, F.concat(F.lit("u"), F.col("id") % n)).alias("user_id"), F.lit("p").alias("product_id"),
+        F.when(F.col("id") % 2 == 0, F.lit(1.5)).alias("price"))
+    days = sketches.rolled_up_members(sketches.view_members(views, Windowing("1 hour")), "day", ("category", "country"))
+    out = {r.category: r for r in sketches.counted_members(sketches.rolled_up_members(days, "month")).collect()}
+    assert (out["A"].total_views, out["A"].unique_users, out["A"].unique_products, out["A"].avg_product_price) == (2 * n - 1, n, 1, 1.5)
+    assert (out[None].total_views, out[None].unique_users) == (1, 1)
+
+
 # --- replacing whole tables, repair -------------------------------------------------------------------
 
 def test_a_failed_replacement_leaves_the_old_rows(spark, tmp_path, rows):
