@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html as entities
 import json
+import math
 import re
 from collections.abc import Iterator
 
@@ -50,8 +51,8 @@ SEEN = 3
 LINKED, INNER = 0.5, 0.8
 #: Parts in which the shapes of a host are merged before they meet.
 SALTS = 64
-#: Pairs of children that are aligned by dynamic programming; longer lists are aligned label by label.
-ALIGNED = 1 << 16
+#: Cells of the alignment of two lists that are held at once; of longer lists rows are made twice.
+CELLS = 1 << 20
 #: Bytes of decisions up to which they are broadcast; above, they join by host and shape.
 BROADCAST = 32 << 20
 #: Shapes that a task counts before it sends them.
@@ -273,34 +274,66 @@ def matched(a: Node, b: Node) -> int:
 
 
 def aligned(a: list[Node], b: list[Node]) -> tuple[int, list[tuple[int, int]]]:
-    """(size, pairs of places) of the best match of two lists of trees that keeps their order."""
+    """(size, pairs of places) of the best match of two lists of trees that keeps their order.
+
+    One dynamic program for lists of any length, a row of it at a time. Rows are kept for one block of ``a``;
+    of the others only their first, from which they are made again, so long lists need memory for about the root of
+    their rows.
+    """
     if len(a) == len(b) and all(x.label == y.label for x, y in zip(a, b)):
         return len(a) + sum(aligned(x.kids, y.kids)[0] for x, y in zip(a, b) if x.kids and y.kids), [(i, i) for i in range(len(a))]
-    if len(a) * len(b) > ALIGNED:
-        pairs, at = [], 0
-        for j, kid in enumerate(b):
-            for i in range(at, min(len(a), at + 64)):
-                if a[i].label == kid.label:
-                    pairs.append((i, j))
-                    at = i + 1
-                    break
-        return len(pairs), pairs
-    best = np.zeros((len(a) + 1, len(b) + 1), np.int64)
-    weight = np.zeros((len(a), len(b)), np.int64)
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            weight[i, j] = matched(a[i], b[j])
-            best[i, j] = max(best[i, j + 1], best[i + 1, j], best[i + 1, j + 1] + weight[i, j])
-    i, j, pairs = 0, 0, []
-    while i < len(a) and j < len(b):  # of equally large matches the one that begins first
-        if weight[i, j] and best[i, j] == best[i + 1, j + 1] + weight[i, j]:
-            pairs.append((i, j))
-            i, j = i + 1, j + 1
-        elif best[i, j] == best[i + 1, j]:
-            i += 1
+    n, m = len(a), len(b)
+    step = max(math.isqrt(n) + 1, CELLS // (m + 1))
+    labels: dict[str, list[int]] = {}
+    same: dict[tuple, list[int]] = {}
+    for j, kid in enumerate(b):
+        labels.setdefault(kid.label, []).append(j)
+        if kid.label == "#" and kid.stats:
+            same.setdefault(tuple(kid.stats[1:3]), []).append(j)
+
+    def weights(i: int) -> np.ndarray:
+        row, own = np.zeros(m, np.int64), a[i]
+        if own.label == "#":  # as matched() has it, for all slots at once
+            row[labels.get("#", [])] = 1
+            row[same.get(tuple(own.stats[1:3]), []) if own.stats else []] = 2
         else:
-            j += 1
-    return int(best[0, 0]), pairs
+            for j in labels.get(own.label, ()):
+                row[j] = matched(own, b[j])
+        return row
+
+    def block(first: int, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weights and best sizes of the rows from ``first``; the last of the sizes is ``below``."""
+        last = min(first + step, n)
+        weight, best = np.zeros((last - first, m), np.int64), np.zeros((last - first + 1, m + 1), np.int64)
+        best[-1] = below
+        for i in range(last - first - 1, -1, -1):
+            weight[i] = weights(first + i)
+            best[i, :m] = np.maximum(best[i + 1, :m], best[i + 1, 1:] + weight[i])
+            best[i] = np.maximum.accumulate(best[i, ::-1])[::-1]
+        return weight, best
+
+    below = np.zeros(m + 1, np.int64)
+    starts = range(0, n, step)
+    after: dict[int, np.ndarray] = {}
+    weight = best = None
+    for first in reversed(starts):
+        after[first] = below
+        weight, best = block(first, below)
+        below = best[0].copy()
+    size, j, pairs = int(below[0]), 0, []
+    for first in starts:
+        if first:
+            weight, best = block(first, after[first])
+        i, rows = 0, min(step, n - first)
+        while i < rows and j < m:  # of equally large matches the one that begins first
+            if weight[i, j] and best[i, j] == best[i + 1, j + 1] + weight[i, j]:
+                pairs.append((first + i, j))
+                i, j = i + 1, j + 1
+            elif best[i, j] == best[i + 1, j]:
+                i += 1
+            else:
+                j += 1
+    return size, pairs
 
 
 def joined_stats(a: list | None, b: list | None) -> list | None:

@@ -232,3 +232,26 @@ def test_tree_matching_is_the_largest():
     assert wrappers.matched(a, b) == 5
     assert wrappers.aligned(a.kids, b.kids)[1] == [(1, 0), (2, 2)]
     assert wrappers.merge(a, b).shape() == ["d", [["x", []], ["y", [["#", []]]], ["q", []], ["x", [["#", []], ["z", []]]]]]
+
+
+def test_long_lists_are_matched_as_short_ones(monkeypatch):
+    """The largest match whatever the lists' length, and the same one however many rows are held."""
+    def leaves(names):
+        return [wrappers.Node(n) for n in names]
+    names = [f"l{i}" for i in range(300)]
+    size, pairs = wrappers.aligned(leaves(names), leaves(["l60", *names[:60], *names[61:]]))
+    assert size == len(pairs) == 299
+
+    dice = random.Random(3)
+
+    def some(depth):
+        if depth and dice.random() < 0.5:
+            return wrappers.Node(dice.choice("xy"), [some(depth - 1) for _ in range(dice.randrange(4))])
+        h = dice.randrange(3)
+        return wrappers.Node("#", stats=[1, h, h, 1, 0] if dice.random() < 0.8 else None)
+    for _ in range(150):
+        a, b = ([some(2) for _ in range(dice.randrange(12))] for _ in range(2))
+        monkeypatch.undo()
+        whole = wrappers.aligned(a, b)
+        monkeypatch.setattr(wrappers, "CELLS", 1)
+        assert wrappers.aligned(a, b) == whole
