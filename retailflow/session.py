@@ -44,11 +44,26 @@ def build_session(app_name: str = "retailflow", master: str | None = None,
     return spark
 
 
-def configure(spark: SparkSession) -> SparkSession:
-    """Set what results depend on in a session that somebody else created; leave its other settings."""
+#: Bytes of input tables per shuffle partition, and of shuffled rows that a task reads or keeps as one side of a join.
+PARTITION_BYTES, TASK_BYTES = 2 << 20, "16MB"
+
+
+def configure(spark: SparkSession, input_bytes: int | None = None) -> SparkSession:
+    """Set what results depend on in a session that somebody else created; leave its other settings.
+
+    With ``input_bytes``, the number of shuffle partitions grows with the input, so that a task's share and memory don't;
+    the adaptive planner merges small ones. Joins whose smaller side is small in every task keep it as a hash table, which
+    spares them from sorting the larger one. Sizes that the session sets itself stay.
+    """
     for key, value in RESULT_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    if input_bytes is not None:
+        partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes // PARTITION_BYTES))
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(partitions))
+        for key in ("advisoryPartitionSizeInBytes", "maxShuffledHashJoinLocalMapThreshold"):
+            if spark.conf.get(f"spark.sql.adaptive.{key}", None) is None:
+                spark.conf.set(f"spark.sql.adaptive.{key}", TASK_BYTES)
     return spark
 
 

@@ -14,7 +14,7 @@ from retailflow.functions.labels import content_id
 from retailflow.functions.money import from_cents, line_cents
 from retailflow.session import configure
 from retailflow.sources.streams import file_stream
-from retailflow.sources.tables import is_folder, table_path
+from retailflow.sources.tables import bytes_of, is_folder, table_path
 
 #: fixed values: attributes of the regions that stand for countries; one region has none
 REGION_ROWS = (
@@ -24,6 +24,9 @@ REGION_ROWS = (
     ("EUROPE", "Western Europe", "Europe", "EUR", "Europe/Berlin"),
 )
 
+#: The tables that grow with the business.
+TABLES = ("customer", "part", "orders", "lineitem", "events")
+
 
 def _id(prefix: str, number: Column, width: int = 8) -> Column:
     """Zero-padded id; longer numbers keep all their digits."""
@@ -39,7 +42,7 @@ class RetailTables:
     """Views of one folder; tables named in ``streaming`` are read as file streams."""
 
     def __init__(self, spark: SparkSession, folder: str, streaming: frozenset[str] = frozenset()):
-        self.spark = configure(spark)
+        self.spark = configure(spark, sum(bytes_of(spark, table_path(spark, folder, name)) for name in TABLES))
         self.folder = folder
         self.streaming = streaming
         self._schemas: dict[str, StructType] = {}
@@ -92,13 +95,18 @@ class RetailTables:
 
     def sale_lines(self) -> DataFrame:
         """Stored sale lines: line totals, and ids from the content of the line."""
-        return self.order_lines().select(
+        return self.stored(self.order_lines())
+
+    @staticmethod
+    def stored(lines: DataFrame, *others: str) -> DataFrame:
+        """Order lines as they are stored, with ``others`` of their columns. The ids are long: made after joins, they aren't shuffled."""
+        return lines.select(
             "transaction_id",
             content_id("transaction_id", "l_linenumber", "product_id", "l_suppkey", "quantity").alias("line_item_id"),
             "user_id", "product_id", "category", "quantity", "unit_price",
             from_cents(line_cents("quantity", "unit_price")).alias("total_amount"),
             F.lit(0.0).alias("discount_amount"), "payment_method", "country",
-            F.col("timestamp").alias("transaction_timestamp"))
+            F.col("timestamp").alias("transaction_timestamp"), *others)
 
     def clicks(self) -> DataFrame:
         k = F.get_json_object("props", "$.k").cast("int")

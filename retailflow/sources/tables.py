@@ -59,6 +59,12 @@ def is_folder(spark: SparkSession, path: str) -> bool:
     return fs.exists(hadoop) and fs.getFileStatus(hadoop).isDirectory()
 
 
+def bytes_of(spark: SparkSession, path: str) -> int:
+    """Bytes of a file or folder; 0 if there is none."""
+    hadoop, fs = _file_system(spark, path)
+    return fs.getContentSummary(hadoop).getLength() if fs.exists(hadoop) else 0
+
+
 def rename(spark: SparkSession, path: str, target: str) -> None:
     hadoop, fs = _file_system(spark, path)
     if not fs.rename(hadoop, _file_system(spark, target)[0]):
