@@ -19,33 +19,59 @@ class Star:
     dates: DataFrame        # date_id, date, ...
 
 
-def lookup(facts: DataFrame, dim: DataFrame, natural: str, surrogate: str) -> DataFrame:
+def lookup(facts: DataFrame, dim: DataFrame, natural: str, surrogate: str, others: tuple[str, ...] = ()) -> DataFrame:
     """Left lookup of a surrogate by natural key; an unknown key gives NULL.
 
-    Facts without a key don't enter the join, where they all would meet in one task.
+    Facts without a key match nothing; a second key spreads them, as they all would meet in one task. The facts are read once.
     """
-    found = facts.filter(F.col(natural).isNotNull()).join(dim.select(natural, surrogate), natural, "left")
-    kind = dim.schema[surrogate].dataType
-    without = facts.filter(F.col(natural).isNull()).withColumn(surrogate, F.lit(None).cast(kind))
-    return found.unionByName(without)
+    none = F.col(natural).isNull()
+    spread = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in facts.columns)), F.lit(1024)) + 1
+    keyed = facts.withColumn("_spread", F.when(none, spread).otherwise(F.lit(0)))
+    members = dim.select(natural, surrogate, *others, F.when(none, F.lit(1)).otherwise(F.lit(0)).cast("bigint").alias("_spread"))
+    return keyed.join(members, [natural, "_spread"], "left").drop("_spread")
 
 
-def with_keys(events: DataFrame, star: Star, ts: str) -> DataFrame:
+def stands_for(dim: DataFrame, natural: str, surrogate: str, alias: str) -> DataFrame:
+    """Current versions of a dimension with the natural key that their surrogate stands for among all versions.
+
+    The join of facts with a dimension by surrogate, made on the dimension: facts then need one lookup for both.
+    """
+    named = dim.select(F.col(surrogate).alias("_surrogate"), F.col(natural).alias(alias))
+    return current(dim).join(named, F.col(surrogate) == F.col("_surrogate"), "left").drop("_surrogate")
+
+
+#: Names of the natural keys that :func:`with_keys` adds for the surrogates on request.
+STANDS_FOR = ("customer_of", "product_of", "country_of")
+
+
+def with_keys(events: DataFrame, star: Star, ts: str, resolve: bool = False) -> DataFrame:
     """Attach the four surrogates. Catalyst broadcasts the sides it measures as small.
 
-    Only products are left out often enough (all checkouts, most view events) to be looked up apart.
+    Countries and days are few by nature and so broadcast always: dealt by country, all facts would meet in as many tasks
+    as there are countries. Only products are left out often enough (all checkouts, most view events) to be spread by another key.
+    With ``resolve``, the natural keys that the surrogates stand for come along as ``STANDS_FOR``.
     """
-    keyed = lookup(events, current(star.products), "product_id", "product_id_pk")
-    keyed = keyed.join(current(star.customers).select("user_id", "customer_id"), "user_id", "left")
-    keyed = keyed.join(current(star.geography).select("country", "geography_id"), "country", "left")
-    return keyed.withColumn("date", F.col(ts).cast("date")).join(star.dates.select("date", "date_id"), "date", "left")
+    dims = [(star.customers, "user_id", "customer_id"), (star.products, "product_id", "product_id_pk"),
+            (star.geography, "country", "geography_id")]
+    others = [(name,) if resolve else () for name in STANDS_FOR]
+    customers, products, places = (stands_for(dim, key, surrogate, *o) if o else current(dim)
+                                   for (dim, key, surrogate), o in zip(dims, others))
+    keyed = lookup(events, products, "product_id", "product_id_pk", others[1])
+    keyed = keyed.join(customers.select("user_id", "customer_id", *others[0]), "user_id", "left")
+    keyed = keyed.join(F.broadcast(places.select("country", "geography_id", *others[2])), "country", "left")
+    return keyed.withColumn("date", F.col(ts).cast("date")).join(F.broadcast(star.dates.select("date", "date_id")), "date", "left")
 
 
 def fact_sales(lines: DataFrame, star: Star) -> DataFrame:
-    return with_keys(lines, star, "transaction_timestamp").select(
+    return sale_facts(with_keys(lines, star, "transaction_timestamp"))
+
+
+def sale_facts(keyed: DataFrame, *others: str) -> DataFrame:
+    """The fact columns of sale lines that have their surrogates, and ``others``."""
+    return keyed.select(
         F.col("line_item_id").alias("event_id"), "transaction_id",
         "date_id", "customer_id", "product_id_pk", "geography_id",
-        "transaction_timestamp", "quantity", "unit_price", "total_amount", "discount_amount", "payment_method")
+        "transaction_timestamp", "quantity", "unit_price", "total_amount", "discount_amount", "payment_method", *others)
 
 
 def fact_product_views(views: DataFrame, star: Star) -> DataFrame:

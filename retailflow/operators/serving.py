@@ -166,13 +166,13 @@ def _orders_and_revenue() -> list[Column]:
 
 
 def daily_trend(sales: DataFrame, dates: DataFrame, n: int = 30) -> DataFrame:
-    return (sales.join(dates.select("date_id", "date"), "date_id", "left").groupBy("date").agg(*_orders_and_revenue())
+    return (sales.join(F.broadcast(dates.select("date_id", "date")), "date_id", "left").groupBy("date").agg(*_orders_and_revenue())
             .orderBy(F.col("date").desc()).limit(n))
 
 
 def sales_by_geography(sales: DataFrame, geography: DataFrame) -> DataFrame:
     named = geography.filter("is_current").select("geography_id", "country")
-    return (sales.join(named, "geography_id").groupBy("country").agg(*_orders_and_revenue())
+    return (sales.join(F.broadcast(named), "geography_id").groupBy("country").agg(*_orders_and_revenue())
             .orderBy(F.col("revenue").desc(), "country"))
 
 
