@@ -38,7 +38,11 @@ def geography(countries: DataFrame, attributes: DataFrame) -> DataFrame:
 
 def update_dimension(spark: SparkSession, path: str, incoming: DataFrame, natural: str, surrogate: str,
                      now: Column, ignore: tuple[str, ...] = ("rfm_score",)) -> int:
-    """Merge incoming rows into a versioned snapshot table and publish the next version."""
+    """Merge incoming rows into a versioned snapshot table and publish the next version.
+
+    The rows are materialised, as they are merged and tested: what they are made of (all sale lines, for customers) is read once.
+    """
+    incoming = sinks.cut(incoming)
     if sinks.newest_version(spark, path) is None:
         merged = dimensions.first_versions(incoming, now)
     else:
@@ -75,6 +79,7 @@ def load_facts(spark: SparkSession, path: str, incoming: DataFrame, key: str = "
     """
     fresh = incoming.dropDuplicates([key])
     if path_exists(spark, path):
+        incoming = sinks.cut(incoming)
         dates = [r.date_id for r in incoming.select("date_id").distinct().collect()]  # days of one batch
         stored = spark.read.schema(incoming.schema).parquet(path)
         fresh = facts.unseen(incoming, facts.of_dates(stored, dates), key)
@@ -92,7 +97,7 @@ def run_batch(spark: SparkSession, root: str, lines: DataFrame, views: DataFrame
     def batch(events: DataFrame, ts: str) -> DataFrame:
         if batch_date is None and days is None:
             return events
-        return ingest.batch_slice(events, ts, batch_date, today, days or 7)
+        return sinks.cut(ingest.batch_slice(events, ts, batch_date, today, days or 7))  # the calendar and the facts read them
 
     new_lines = batch(lines, "transaction_timestamp")
     new_views, new_carts = batch(views, "event_timestamp"), batch(carts, "event_timestamp")
