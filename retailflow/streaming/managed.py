@@ -23,6 +23,8 @@ from retailflow.streaming.sinks import BatchWriter
 WHOLE_EVERY = 16
 #: Bytes from which a folder is left alone, and folders of a size class that are merged to one.
 TARGET_BYTES, FAN_IN = 512 << 20, 8
+#: Bytes of a file of a merged folder: a task reads and sorts one.
+FILE_BYTES = 16 << 20
 #: Attempts of a commit against other writers of the table.
 ATTEMPTS = 50
 
@@ -173,6 +175,8 @@ class ManagedTable:
         """
         if self.log.snapshot().has(batch):
             return False
+        if self.layout:  # tasks sort what they write by the layout: large shares are split, and a day gets few files
+            df = df.withColumn(*self.layout).hint("rebalance", self.layout[0]).drop(self.layout[0])
         return self.commit([self.stage(df)], schema=df.schema, batch=batch) is not None
 
     # --- reading
@@ -237,7 +241,7 @@ class ManagedTable:
                 size = sum(now.live[n] for n in names)
                 merged = self.rows(names, now.schema)
                 merged = merged.drop(self.layout[0]) if self.layout else merged
-                files = max(1, -(-size // self.target_bytes))
+                files = max(1, -(-size // min(self.target_bytes, FILE_BYTES)))
                 merged = merged.repartitionByRange(files, *self.order) if self.order else merged.coalesce(files)
                 staged = self.stage(merged.sortWithinPartitions(*self.order) if self.order else merged)
                 try:
