@@ -184,8 +184,14 @@ def plan_sources(rows: DataFrame, stream: DataFrame, weights: tuple[float, ...]
         blocks = -(-r.streamed // block_words)
         slots = min(int(most * blocks), round(target * blocks / r.words)) if r.words else 0
         table.append((r.source, number, r.words, target, blocks, slots))
-    return rows.sparkSession.createDataFrame(
-        table, "source string, number int, source_size long, target double, blocks long, slots long")
+    schema = pa.schema([("source", pa.string()), ("number", pa.int32()), ("source_size", pa.int64()),
+                        ("target", pa.float64()), ("blocks", pa.int64()), ("slots", pa.int64())])
+    if not table:
+        return rows.sparkSession.createDataFrame(
+            [], "source string, number int, source_size long, target double, blocks long, slots long")
+    # An Arrow table passes through no Python worker. Rows would: those of RDDs are a set of their own in each executor, kept
+    # beside the workers of the SQL steps.
+    return rows.sparkSession.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(zip(*table), schema)], schema=schema))
 
 
 def draw_slots(plan: DataFrame, seed: int = 7, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:

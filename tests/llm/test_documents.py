@@ -209,6 +209,15 @@ def test_permutations_are_bijective(size, key):
     assert sorted(image.tolist()) == list(range(size))
 
 
+def test_plan_of_sources_needs_no_workers_of_its_own(spark):
+    rows = spark.createDataFrame([("a", 300), ("b", 50), (None, 7)], "source string, size long")
+    plan = mixing.plan_sources(rows, rows)
+    assert "PythonRDD" not in plan._jdf.queryExecution().toRdd().toDebugString()
+    assert [(r.source, r.number, r.source_size) for r in plan.orderBy("number").collect()] == [("a", 0, 300), ("b", 1, 50), (None, 2, 7)]
+    none = mixing.plan_sources(rows.limit(0), rows.limit(0))
+    assert none.count() == 0 and none.schema == plan.schema
+
+
 def test_shard_counts_add_up():
     slots = np.array([5000, 1, 0, 17000, 321])
     shards, size = 11, 2048
