@@ -44,22 +44,40 @@ def stands_for(dim: DataFrame, natural: str, surrogate: str, alias: str) -> Data
 STANDS_FOR = ("customer_of", "product_of", "country_of")
 
 
+def _members(dim: DataFrame, natural: str, surrogate: str, other: str | None) -> DataFrame:
+    return (stands_for(dim, natural, surrogate, other) if other else current(dim)).select(natural, surrogate, *filter(None, [other]))
+
+
+def with_product(events: DataFrame, star: Star, resolve: bool = False) -> DataFrame:
+    """Attach ``product_id_pk``. Products are left out often (all checkouts, most view events), so such events are spread."""
+    others = STANDS_FOR[1:2] if resolve else ()
+    return lookup(events, _members(star.products, "product_id", "product_id_pk", *others or [None]),
+                  "product_id", "product_id_pk", others)
+
+
+def with_customer(events: DataFrame, star: Star, resolve: bool = False) -> DataFrame:
+    return events.join(_members(star.customers, "user_id", "customer_id", STANDS_FOR[0] if resolve else None), "user_id", "left")
+
+
+def with_country(events: DataFrame, star: Star, resolve: bool = False) -> DataFrame:
+    """Attach ``geography_id``. Countries are few by nature and so broadcast always: dealt by country, all facts would meet in
+    as many tasks as there are countries."""
+    members = _members(star.geography, "country", "geography_id", STANDS_FOR[2] if resolve else None)
+    return events.join(F.broadcast(members), "country", "left")
+
+
+def with_date(events: DataFrame, star: Star, ts: str) -> DataFrame:
+    """Attach ``date_id``; days are few and broadcast as countries are."""
+    return events.withColumn("date", F.col(ts).cast("date")).join(F.broadcast(star.dates.select("date", "date_id")), "date", "left")
+
+
 def with_keys(events: DataFrame, star: Star, ts: str, resolve: bool = False) -> DataFrame:
     """Attach the four surrogates. Catalyst broadcasts the sides it measures as small.
 
-    Countries and days are few by nature and so broadcast always: dealt by country, all facts would meet in as many tasks
-    as there are countries. Only products are left out often enough (all checkouts, most view events) to be spread by another key.
     With ``resolve``, the natural keys that the surrogates stand for come along as ``STANDS_FOR``.
     """
-    dims = [(star.customers, "user_id", "customer_id"), (star.products, "product_id", "product_id_pk"),
-            (star.geography, "country", "geography_id")]
-    others = [(name,) if resolve else () for name in STANDS_FOR]
-    customers, products, places = (stands_for(dim, key, surrogate, *o) if o else current(dim)
-                                   for (dim, key, surrogate), o in zip(dims, others))
-    keyed = lookup(events, products, "product_id", "product_id_pk", others[1])
-    keyed = keyed.join(customers.select("user_id", "customer_id", *others[0]), "user_id", "left")
-    keyed = keyed.join(F.broadcast(places.select("country", "geography_id", *others[2])), "country", "left")
-    return keyed.withColumn("date", F.col(ts).cast("date")).join(F.broadcast(star.dates.select("date", "date_id")), "date", "left")
+    keyed = with_country(with_customer(with_product(events, star, resolve), star, resolve), star, resolve)
+    return with_date(keyed, star, ts)
 
 
 def fact_sales(lines: DataFrame, star: Star) -> DataFrame:

@@ -6,6 +6,8 @@ numeric keys and the text ids are built afterwards.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -34,10 +36,25 @@ def _id(prefix: str, number: Column, width: int = 8) -> Column:
     return F.concat(F.lit(prefix), F.lpad(digits, F.greatest(F.length(digits), F.lit(width)), F.lit("0")))
 
 
+def _order_ids() -> tuple[Column, Column]:
+    """Ids of an order and its customer as text."""
+    return F.col("o_orderkey").cast("string").alias("transaction_id"), _id("USER_", F.col("o_custkey")).alias("user_id")
+
+
 def _iso(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
 
 
+#: Adds columns to rows, none of which it drops or doubles.
+Keyed = Callable[[DataFrame], DataFrame]
+
+
+def _keyed(rows: DataFrame, keyed: Keyed | None) -> tuple[DataFrame, list[str]]:
+    """Rows after ``keyed``, and the names of the columns it added."""
+    out = keyed(rows) if keyed else rows
+    return out, [c for c in out.columns if c not in rows.columns]
+
+
 class RetailTables:
     """Views of one folder; tables named in ``streaming`` are read as file streams."""
 
@@ -70,28 +87,37 @@ class RetailTables:
             _id("PROD_", F.col("p_partkey")).alias("product_id"), F.col("p_name").alias("name"),
             F.col("p_type").alias("category"), F.col("p_retailprice").alias("price"))
 
-    def _orders(self) -> DataFrame:
+    def _orders(self, users: Keyed | None = None) -> tuple[DataFrame, list[str]]:
+        """Orders with numbers as keys, and the names of the columns that ``users`` added to their customers."""
         ts = F.expr("o_orderdate + interval '1' minute * cast(o_orderkey % 1440 as int)")
-        return (self.raw("orders").join(self.users(), F.col("o_custkey") == F.col("c_custkey"))
-                .select("o_orderkey", F.col("o_orderkey").cast("string").alias("transaction_id"),
-                        _id("USER_", F.col("o_custkey")).alias("user_id"),
-                        ts.cast("timestamp").alias("timestamp"),
+        buyers, more = _keyed(self.users().select("c_custkey", _id("USER_", F.col("c_custkey")).alias("user_id"), "country"), users)
+        return (self.raw("orders").join(buyers.drop("user_id"), F.col("o_custkey") == F.col("c_custkey"))
+                .select("o_orderkey", "o_custkey", ts.cast("timestamp").alias("timestamp"),
                         F.col("o_totalprice").alias("total_amount"),
-                        F.col("o_orderpriority").alias("payment_method"), "country"))
+                        F.col("o_orderpriority").alias("payment_method"), "country", *more)), more
 
     def transactions(self) -> DataFrame:
-        return self._orders().drop("o_orderkey")
+        return self._orders()[0].select(*_order_ids(), "timestamp", "total_amount", "payment_method", "country")
 
-    def order_lines(self) -> DataFrame:
-        """One row per purchased product; ``total_amount`` is the order's."""
-        return (self.raw("lineitem").join(self._orders(), F.col("l_orderkey") == F.col("o_orderkey"))
-                .join(self.raw("part"), F.col("l_partkey") == F.col("p_partkey"))
-                .select("transaction_id", "user_id", "timestamp", "total_amount", "payment_method", "country",
+    def order_lines(self, users: Keyed | None = None, parts: Keyed | None = None) -> DataFrame:
+        """One row per purchased product; ``total_amount`` is the order's.
+
+        Lines meet the parts, then the orders, by number, and text ids are made last, so no line carries them through a shuffle.
+        ``users`` (which have ``user_id`` and ``country``) and ``parts`` (``product_id``) are given columns, such as surrogates,
+        by these functions before the lines meet them; such columns come last.
+        """
+        part, of_parts = _keyed(self.raw("part").select(
+            "p_partkey", _id("PROD_", F.col("p_partkey")).alias("product_id"), "p_type", "p_retailprice"), parts)
+        orders, of_users = self._orders(users)
+        lines = self.raw("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+                                            F.col("l_quantity").cast("int").alias("quantity"))
+        return (lines.join(part.drop("product_id"), F.col("l_partkey") == F.col("p_partkey"))
+                .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+                .select(*_order_ids(), "timestamp", "total_amount", "payment_method", "country",
                         _id("PROD_", F.col("p_partkey")).alias("product_id"),
-                        F.col("p_type").alias("category"),
-                        F.col("l_quantity").cast("int").alias("quantity"),
+                        F.col("p_type").alias("category"), "quantity",
                         F.col("p_retailprice").alias("unit_price"),
-                        "l_linenumber", "l_suppkey"))
+                        "l_linenumber", "l_suppkey", *of_users, *of_parts))
 
     def sale_lines(self) -> DataFrame:
         """Stored sale lines: line totals, and ids from the content of the line."""

@@ -1,6 +1,7 @@
 """Steps whose share per task must not grow with the input."""
 
 import datetime as dt
+import re
 
 from pyspark.sql import functions as F
 
@@ -113,3 +114,37 @@ def _text_files(spark):
 
     from retailflow.session import shared_folder
     return [f for f in Path(shared_folder(spark).removeprefix("file:")).glob("messages-*/part-*")]
+
+
+def exchanged(spark, df):
+    """Columns of each shuffle in the plan of ``df``."""
+    text = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    inputs = re.findall(r"^\(\d+\) Exchange\nInput \[\d+\]: \[(.*)\]$", text, re.M)
+    return [{re.sub(r"#\w+$", "", c.strip()) for c in columns.split(",")} for columns in inputs]
+
+
+def test_lines_are_shuffled_by_number_only(spark):
+    keys = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        work = registry.Workload(spark, "/root/testdata/sf0.001")
+        for query in ("fact_sales", "product_sales_velocity"):
+            lines = [c for c in exchanged(spark, registry.QUERIES[query](work)) if "l_partkey" in c or "p_partkey" in c and "quantity" in c]
+            assert len(lines) == 2 and not set.union(*lines) & {"user_id", "transaction_id", "product_id", "payment_method", "timestamp"}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        restored(spark, PARTITIONS, ADVISED, "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold")
+
+
+def test_columns_added_to_users_and_parts_reach_their_lines(spark, rows):
+    tables = registry.Workload(spark, "/root/testdata/sf0.001").data
+    twice = tables.order_lines(lambda users: users.withColumn("of_user", F.concat("user_id", F.lit("/"), "country")),
+                               lambda parts: parts.filter("p_partkey % 2 = 0").withColumn("of_part", F.col("product_id")))
+    plain = tables.order_lines()
+    assert twice.columns == [*plain.columns, "of_user", "of_part"]
+    assert twice.filter("of_user != concat(user_id, '/', country) or of_part != product_id").count() == 0
+    assert rows(twice, *plain.columns) == rows(plain.filter("cast(substr(product_id, 6) as int) % 2 = 0"))
+    restored(spark, PARTITIONS, ADVISED, "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold")
