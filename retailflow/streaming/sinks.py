@@ -113,8 +113,8 @@ def write_jdbc(df: DataFrame, db: Jdbc, table: str, mode: str = "append") -> Non
     df.write.format("jdbc").options(**db.options(table=table)).mode(mode).save()
 
 
-def append(df: DataFrame, path: str, partition_by: str | None = None) -> None:
-    writer = df.write.mode("append")
+def append(df: DataFrame, path: str, partition_by: str | None = None, **options: str) -> None:
+    writer = df.write.mode("append").options(**options)
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
 
 
@@ -144,9 +144,12 @@ def cut(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
-def replace_partitions(df: DataFrame, path: str, column: str = "analysis_date") -> None:
-    """Replace only the values of ``column`` present in ``df``; others stay."""
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+def replace_partitions(df: DataFrame, path: str, column: str = "analysis_date", **options: str) -> None:
+    """Replace only the values of ``column`` present in ``df``; others stay.
+
+    ``df`` may read the table: new files are written beside the old ones, which go when all are there.
+    """
+    (df.write.mode("overwrite").options(**options).option("partitionOverwriteMode", "dynamic")
      .partitionBy(column).parquet(path))
 
 

@@ -10,6 +10,7 @@ from retailflow.operators import dimensions, ingest, sketches, totals
 from retailflow.plans import warehouse
 from retailflow.plans.history import History
 from retailflow.plans.repair import Lookup, repair_facts, valid_or_first
+from retailflow.session import freed_shuffles
 from retailflow.sources.streams import file_stream, with_event_time
 from retailflow.streaming import sinks
 from retailflow.streaming.managed import WHOLE_EVERY, Conflict, ManagedTable, managed_batches, managed_tables
@@ -299,3 +300,27 @@ def test_late_members_get_their_facts(spark, tmp_path, rows):
     kept = {p for p in files_below(tmp_path / "f") if before.get(p) == p.stat().st_mtime_ns}
     assert {p.parent.name for p in kept} == {"date_id=20240103", "date_id=20240107", "date_id=__HIVE_DEFAULT_PARTITION__"}
     assert repair_facts(spark, path, events, [by], "ts") == 0
+
+
+def test_repair_doubles_no_fact(spark, tmp_path, rows):
+    versions = spark.createDataFrame([("a", 1, dt.datetime(2024, 1, 1), dt.datetime(9999, 12, 31))],
+                                     "user_id string, customer_id long, effective_start_date timestamp, effective_end_date timestamp")
+    events = spark.createDataFrame([("t1", "a"), ("t1", "a"), ("t2", None)], "transaction_id string, user_id string")
+    facts = spark.createDataFrame([("e1", "t1", 20240105), ("e1", "t1", 20240105), ("e2", "t1", 20240105), ("e3", "t2", 20240105)],
+                                  "event_id string, transaction_id string, date_id int").withColumns(
+        {"ts": F.lit(dt.datetime(2024, 1, 5)), "customer_id": F.lit(None).cast("long")})
+    path = str(tmp_path / "f")
+    sinks.append(facts, path, "date_id")
+    assert repair_facts(spark, path, events, [Lookup(versions, "user_id", "customer_id")], "ts", key="transaction_id") == 1
+    assert rows(spark.read.parquet(path), "event_id", "customer_id") == [("e1", 1), ("e1", 1), ("e2", 1), ("e3", None)]
+
+
+def test_shuffles_of_a_load_are_removed(spark, tmp_path):
+    def files():
+        manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return {str(f) for f in manager.getAllFiles().mkString("\n").split("\n") if "shuffle" in str(f)}
+    before, key = files(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    with freed_shuffles(spark):
+        sinks.append(spark.range(1000).repartition(3, "id"), str(tmp_path / "t"))
+        assert not files() - before
+    assert spark.conf.get(key) == "false" and spark.read.parquet(str(tmp_path / "t")).count() == 1000
