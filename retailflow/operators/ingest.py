@@ -23,7 +23,8 @@ def decode(messages: DataFrame, schema: StructType, value: str = "value") -> Dat
     parsed = F.from_json(F.col(value).cast("string"), full,
                          {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
     known = F.coalesce(*[F.col(f.name).cast("string") for f in schema.fields])
-    return (messages.select(parsed.alias("data")).select("data.*")
+    # A generator's columns keep filters above it; pushed below a plain field, each would parse the message again.
+    return (messages.select(F.inline(F.array(parsed)))
             .withColumn(CORRUPT, F.when(known.isNull(), F.col(CORRUPT)))
             .withColumn("timestamp", parse_iso("timestamp")))
 

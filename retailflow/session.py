@@ -71,7 +71,7 @@ def configure(spark: SparkSession, input_bytes: int | None = None) -> SparkSessi
 
 @contextmanager
 def settings(spark: SparkSession, **conf: str) -> Iterator[None]:
-    """Session settings, their dots written as two underscores, that end with the block."""
+    """Session settings that end with the block; as keywords, their dots are written as two underscores."""
     named = {key.replace("__", "."): value for key, value in conf.items()}
     before = {key: spark.conf.get(key, None) for key in named}
     for key, value in named.items():
@@ -88,6 +88,23 @@ def freed_shuffles(spark: SparkSession):
     return settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true")
 
 
+#: Bytes of input tables per partition of a stream's state.
+STATE_BYTES = 64 << 20
+
+STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: Each write to state is preceded by a look-up that only counts its rows.
+STATE_COUNTS = "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows"
+
+
+def stream_settings(spark: SparkSession, input_bytes: int = 0, counts: bool = True):
+    """What a stream starts with inside the block: state on disk, its rows counted if ``counts``, where the session sets nothing
+    itself, and partitions of state whose number grows with the input, since the planner merges or splits none of a stream's."""
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes // STATE_BYTES))
+    wanted = {STATE_PROVIDER: RUNTIME_CONF[STATE_PROVIDER], STATE_COUNTS: str(counts).lower()}
+    unset = {key: value for key, value in wanted.items() if spark.conf.get(key, None) is None}
+    return settings(spark, **{"spark.sql.shuffle.partitions": str(partitions)}, **unset)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, taken from ``spark.checkpoint.dir``.
 

@@ -59,7 +59,8 @@ class RetailTables:
     """Views of one folder; tables named in ``streaming`` are read as file streams."""
 
     def __init__(self, spark: SparkSession, folder: str, streaming: frozenset[str] = frozenset()):
-        self.spark = configure(spark, sum(bytes_of(spark, table_path(spark, folder, name)) for name in TABLES))
+        self.input_bytes = sum(bytes_of(spark, table_path(spark, folder, name)) for name in TABLES)
+        self.spark = configure(spark, self.input_bytes)
         self.folder = folder
         self.streaming = streaming
         self._schemas: dict[str, StructType] = {}

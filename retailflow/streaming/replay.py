@@ -6,25 +6,28 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame
 
-from retailflow.session import shared_folder
+from retailflow.session import shared_folder, stream_settings
 from retailflow.sources.tables import matching_paths, path_exists
 from retailflow.streaming import sinks
 from retailflow.streaming.progress import ProgressLog
 
 
 def replay(stream: DataFrame, output_mode: str = "append", folder: str | None = None,
-           log: ProgressLog | None = None, job: str = "replay") -> DataFrame:
+           log: ProgressLog | None = None, job: str = "replay", input_bytes: int = 0) -> DataFrame:
     """Run ``stream`` with the batch sink until its input is used up; return the emitted rows.
 
     In append mode these are the windows that the watermark has closed, as a continuous job emits
     them. Complete mode emits all groups with each batch; the newest batch then holds those
     of the whole input, open windows included. A stream that emits nothing gives an empty frame
-    of its schema. What the stream did is added to ``log`` under the name ``job``.
+    of its schema. What the stream did is added to ``log`` under the name ``job``. State has more partitions the more
+    ``input_bytes`` there are.
     """
     spark = stream.sparkSession
     folder = folder or f"{shared_folder(spark)}/replay-{uuid4().hex}"
-    writer = sinks.each_batch(sinks.parquet_batches(f"{folder}/rows"))
-    query = sinks.start(stream, writer, f"{folder}/checkpoint", output_mode=output_mode, available_now=True)
+    # One writer needs no copy of the batch.
+    with stream_settings(spark, input_bytes, counts=log is not None):
+        query = sinks.start(stream, sinks.parquet_batches(f"{folder}/rows"), f"{folder}/checkpoint", output_mode=output_mode,
+                            available_now=True)
     query.awaitTermination()
     if log:
         log.add(job, query.recentProgress)

@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from retailflow import schemas
 from retailflow.config import Realtime
 from retailflow.operators import ingest, windows
+from retailflow.session import STATE_BYTES
 from retailflow.sources.streams import file_stream, kafka_options, with_event_time
 from retailflow.sources.tables import Jdbc
 from retailflow.streaming import jobs, sinks
@@ -206,3 +208,27 @@ def test_job_list_covers_the_tables():
     assert len(listed) == 21 and all(name == job.table for name, job in listed.items())
     assert {j.every for n, j in listed.items() if n in ("transactions", "product_view_events", "cart_events")} == {
         "10 seconds"}
+
+
+def test_a_message_is_parsed_once(spark):
+    messages = spark.createDataFrame([(None,), ("{",), ('{"transaction_id": "t", "products": [{"product_id": "p", "quantity": 2}]}',)], "value string")
+    events = ingest.events_of("transactions", ingest.decode(messages, schemas.TRANSACTION))
+    plan = events._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"from_json\(", plan)) == 1
+    assert [r.transaction_id for r in events.orderBy("transaction_id").collect()] == [None, "t"]
+
+
+def test_a_replay_keeps_state_on_disk_in_partitions_that_grow(spark, tmp_path):
+    folder, key = str(tmp_path / "in"), "spark.sql.streaming.stateStore.providerClass"
+    spark.range(20).select((F.col("id") % 3).alias("k")).write.parquet(folder)
+    own, provider = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get(key)
+    spark.conf.unset(key)
+    try:
+        stream = file_stream(spark, folder, spark.read.parquet(folder).schema).groupBy("k").count()
+        out = replay(stream, "complete", str(tmp_path / "out"), input_bytes=6 * STATE_BYTES)
+        assert sorted(map(tuple, out.collect())) == [(0, 7), (1, 7), (2, 6)]
+        assert len(list((tmp_path / "out" / "checkpoint" / "state" / "0").iterdir())) == 1 + max(6, int(own))
+        assert list((tmp_path / "out" / "checkpoint" / "state").rglob("*.zip")) or list((tmp_path / "out" / "checkpoint" / "state").rglob("*.changelog"))
+        assert spark.conf.get("spark.sql.shuffle.partitions") == own
+    finally:
+        spark.conf.set(key, provider)
