@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -147,11 +147,11 @@ def term_bytes(texts: pa.Array) -> pa.Array:
     return pa.array([row.tobytes() for a, b in blocks_of(values, 1 << 20) for row in terms(values[a:b]).astype(np.float32)], pa.binary())
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, text: str = "text", per_label: int = SAMPLE_PER_LABEL) -> list[tuple[bytes, int]]:
-    """(term counts, label) of at most ``per_label`` documents of each label, by the order of a hash of the id.
+def labelled_rows(docs: DataFrame, labels: DataFrame, text: str = "text", per_label: int = SAMPLE_PER_LABEL) -> DataFrame:
+    """Term counts (``terms``) and label (``quality``) of at most ``per_label`` documents of each label, by the order of a hash of the id.
 
     Rows held out, and labels other than 0 and 1, are left aside; of a document's repeated labels the
-    smaller counts, of its repeated rows the smallest text. Terms are counted by the tasks; the driver gets 8 kB a document.
+    smaller counts, of its repeated rows the smallest text. Terms are counted by the tasks, 8 kB a document.
     """
     known = (labels.filter(~held_out() & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
              .groupBy(F.col("doc_id").alias("labelled")).agg(F.min("quality").alias("quality"))
@@ -160,11 +160,31 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, text: str = "text", per_
     for label in (0, 1):
         part = known.filter(F.col("quality") == label).orderBy("order", "labelled").limit(per_label)
         picked = part if picked is None else picked.unionAll(part)
-    rows = (docs.select(F.col("doc_id"), whole_text(text).alias("t"))
+    return (docs.select(F.col("doc_id"), whole_text(text).alias("t"))
             .join(F.broadcast(picked), F.col("doc_id") == F.col("labelled"))  # 2 * per_label rows at most
             .groupBy("order", "labelled", "quality").agg(F.min("t").alias("t"))
-            .select("order", "labelled", "quality", term_bytes("t").alias("terms")).collect())
-    return [(r.terms, r.quality) for r in sorted(rows, key=lambda r: (r.order, r.labelled))]
+            .select("order", "labelled", "quality", term_bytes("t").alias("terms")))
+
+
+def fit_rows(rows: DataFrame) -> Space:
+    """The space of :func:`labelled_rows`, fitted by one task, as that takes some 200 MB; the driver gets a row of under 1 MB."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = pa.Table.from_batches(batches) if (batches := [b for b in batches if b.num_rows]) else None
+        if sample is None:
+            return
+        sample = sample.sort_by([("order", "ascending"), ("labelled", "ascending")])
+        counts = np.frombuffer(b"".join(sample["terms"].to_pylist()), np.float32).reshape(-1, TERMS)
+        space = fit_terms(counts, sample["quality"].to_pylist())
+        parts = {f.name: [v.tobytes() if isinstance(v := getattr(space, f.name), np.ndarray) else v] for f in fields(Space)}
+        yield pa.RecordBatch.from_pydict(parts)
+
+    found = rows.repartition(1).mapInArrow(tidy(run), "weights binary, axes binary, vectors binary, labels binary, prior double").collect()
+    if not found:
+        return fit_terms(np.zeros((0, TERMS), np.float32), [])
+    row = found[0]
+    weights, axes, vectors = (np.frombuffer(b, np.float32) for b in (row.weights, row.axes, row.vectors))
+    axes = axes.reshape(TERMS, -1)
+    return Space(weights, axes, vectors.reshape(-1, axes.shape[1]), np.frombuffer(row.labels, np.float64), row.prior)
 
 
 def score(docs: DataFrame, labels: DataFrame, text: str = "text", per_label: int = SAMPLE_PER_LABEL,
@@ -178,9 +198,7 @@ def score(docs: DataFrame, labels: DataFrame, text: str = "text", per_label: int
     workers and only scores come back.
     """
     docs = without(docs, "held_out", "score", "predicted")
-    sample = labelled_sample(docs, labels, text, per_label)
-    counts = np.frombuffer(b"".join(t for t, _ in sample), np.float32).reshape(len(sample), TERMS)
-    space = docs.sparkSession.sparkContext.broadcast(fit_terms(counts, [y for _, y in sample]))
+    space = docs.sparkSession.sparkContext.broadcast(fit_rows(labelled_rows(docs, labels, text, per_label)))
 
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:

@@ -232,6 +232,20 @@ def test_shard_counts_add_up():
     assert huge.tolist() == [750_000_000, 250_000_000]
 
 
+def test_the_quality_space_is_fitted_by_a_task(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"{'good plain words' if i % 2 else 'xx 11 !! zz'} number {i}") for i in range(40)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality")
+    rows = quality.labelled_rows(docs, labels)
+    sample = sorted(rows.collect(), key=lambda r: (r.order, r.labelled))
+    want = quality.fit_terms(np.stack([np.frombuffer(r.terms, np.float32) for r in sample]), [r.quality for r in sample])
+    monkeypatch.setattr(np.linalg, "eigh", None)  # in the driver only
+    got = quality.fit_rows(rows)
+    assert np.allclose(got.weights, want.weights) and got.labels.tolist() == want.labels.tolist() and got.prior == want.prior
+    assert np.allclose(got.vectors @ got.vectors.T, want.vectors @ want.vectors.T, atol=1e-4) and got.axes.shape == want.axes.shape
+    scores = {r.doc_id: r.score for r in quality.score(docs, labels).collect()}
+    assert min(s for i, s in scores.items() if i % 2) > max(s for i, s in scores.items() if not i % 2)
+
+
 # --- SentencePiece -----------------------------------------------------------------------------
 
 EDGES = ["", " ", "  ", "a", " a", "a ", "a  b", "▁", "a▁b", "▁▁x", "\n", "a\nb", "\t\tx ", "日本 語🙂", "é" * 300, "\u00a0x", "x\r\n  y",
